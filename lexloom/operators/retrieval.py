@@ -1,7 +1,8 @@
 """Search, filtering and reranking of chunks for batches of questions.
 
 Every stage is a DataFrame of (question, chunk) rows with a score. Questions are a stated set: they are broadcast
-while they are few and the chunks are scanned once, in place; only ranked rows are shuffled, by question.
+while they are few, and the chunks are scanned in place; only ranked rows are shuffled, by question. Prepared
+chunks, and the ranked rows between stages, are written tables.
 Rankings are by score, then chunk_index, chunk_id and input order.
 """
 
@@ -14,6 +15,7 @@ from lexloom.functions import fixed_values as V
 from lexloom.functions.text import cosine, first_of, numeric_unit, points
 from lexloom.plans import features as R
 from lexloom.plans.query_context import contexts
+from lexloom.sources.tables import written
 
 c = F.col
 MODES = ("lexical", "embedding", "hybrid", "hybrid_rerank", "hybrid_filtered_rerank")
@@ -23,6 +25,7 @@ RESULT = ["query_id", "rank", "score", "chunk_id", "document_id", "section_headi
 
 
 def few(queries: DataFrame) -> DataFrame:
+    """A written table of questions, broadcast if it is small."""
     return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
 
 
@@ -42,7 +45,7 @@ def referenced_documents(prepared: DataFrame, ctx: DataFrame) -> DataFrame:
     """
     heads = prepared.groupBy("document_id", "source_path").agg(F.min_by(F.struct("act_title", "names"), "entry_ord").alias("head"), F.min("entry_ord").alias("entry_ord"))
     heads = heads.select("document_id", "source_path", "entry_ord", "head.*")
-    scored = heads.join(few(ctx)).withColumn("score", R.document() + R.tie_break()).where(c("score") >= 1.0)
+    scored = heads.join(ctx).withColumn("score", R.document() + R.tie_break()).where(c("score") >= 1.0)
     best = F.min_by(F.struct(c("document_id").alias("ref_document"), c("source_path").alias("ref_path"), c("names").alias("ref_names")), F.struct(-c("score"), "entry_ord"))
     return scored.groupBy("query_id").agg(best.alias("best")).select("query_id", "best.*")
 
@@ -77,13 +80,12 @@ def general_scan(prepared: DataFrame, ctx: DataFrame, mode: str) -> DataFrame:
     semantic = F.greatest(F.lit(0.0), cosine(c("query_vector"), c("embedding"))) if mode != "lexical" else F.lit(0.0)
     parts = {name: value for name, value in (boosts() | {"semantic": semantic}).items() if V.MODE_WEIGHTS[mode][name]}
     score = sum((value * V.MODE_WEIGHTS[mode][name] for name, value in parts.items()), F.lit(0.0))
-    return prepared.join(few(ctx)).withColumn("score", score).where(c("score") > 0)
+    return prepared.join(ctx).withColumn("score", score).where(c("score") > 0)
 
 
 def exact_units(prepared: DataFrame, ctx: DataFrame) -> DataFrame:
     """Chunks of the very unit that a question names."""
-    wanted = few(ctx.where("exact_lookup"))
-    met = prepared.join(wanted, (F.lower("chunk_unit_type") == c("unit_type")) & (F.upper("unit") == c("unit_id")))
+    met = prepared.join(ctx.where("exact_lookup"), (F.lower("chunk_unit_type") == c("unit_type")) & (F.upper("unit") == c("unit_id")))
     b = boosts()
     score = 10.0 + b["document"] * 2.0 - b["obligation_definition"]
     for name in ("subsection", "definition", "recall", "hierarchy", "obligation_text", "obligation_heading", "obligation_internal", "lexical"):
@@ -100,7 +102,7 @@ def hierarchy_units(prepared: DataFrame, ctx: DataFrame, referenced: DataFrame)
     later = of_document.rowsBetween(1, Window.unboundedFollowing)
     ordered = prepared.withColumn("ord", F.row_number().over(of_document)).withColumn("next_marker", F.min(F.when(F.size("markers") > 0, c("ord"))).over(later))
     asked = ctx.where("hierarchy").join(referenced.drop("ref_names"), "query_id")
-    rows = ordered.join(few(asked), (c("document_id") == c("ref_document")) & (c("source_path") == c("ref_path")))
+    rows = ordered.join(asked, (c("document_id") == c("ref_document")) & (c("source_path") == c("ref_path")))
     inner = F.lower("chunk_unit_type").isin("article", "perkara")
     begin = points((F.lit(True), 1.5), (c("starts_with_heading"), -2.0), (c("compact_tail"), -1.0), (F.lower("chunk_unit_type") == "section", 1.0), (inner, -1.5))
     reliability = c("position_bonus") - c("xref_penalty") * 2.0 + points((c("marked_tail"), 0.75))
@@ -125,7 +127,7 @@ def hierarchy_units(prepared: DataFrame, ctx: DataFrame, referenced: DataFrame)
 
 def refine_by_document(rows: DataFrame, referenced: DataFrame) -> DataFrame:
     """Move scores by whether a chunk is of the document that the question names; adds `inside` (null: none is named)."""
-    joined = rows.join(few(referenced), "query_id", "left").withColumn("inside", (c("document_id") == c("ref_document")) & (c("source_path") == c("ref_path")))
+    joined = rows.join(referenced, "query_id", "left").withColumn("inside", (c("document_id") == c("ref_document")) & (c("source_path") == c("ref_path")))
     gain = 0.75 + R.gazette_document() + R.amendment_document() + R.heading_intent()
     moved = F.when(c("inside"), c("score") + gain).when(~c("inside"), c("score") - R.outside_penalty(c("ref_names"))).otherwise(c("score"))
     return joined.withColumn("score", moved).drop("ref_document", "ref_path", "ref_names")
@@ -259,16 +261,18 @@ def leaves_order(rows: DataFrame) -> DataFrame:
 
 def base_search(prepared: DataFrame, ctx: DataFrame, k: int, mode: str) -> DataFrame:
     """lexical, embedding or hybrid: the exact unit if a question names one that is there, else the part it names, else the general scan."""
-    referenced = referenced_documents(prepared, ctx)
-    ctx = ctx.join(impossible_units(prepared, ctx, referenced), "query_id", "left_anti")
+    hinted = few(ctx)
+    referenced = few(written(referenced_documents(prepared, hinted), "referenced"))
+    ctx = hinted.join(impossible_units(prepared, ctx, referenced), "query_id", "left_anti")
     if mode == "embedding":
         special = None
     else:
-        exact = top(refine_by_document(top(exact_units(prepared, ctx), k).drop("rank"), referenced), k).drop("inside")
-        rest = ctx.join(exact.select("query_id").distinct(), "query_id", "left_anti")
-        parts = top(hierarchy_units(prepared, rest, referenced), k)
+        # ranked rows, k a question: written, so that the branches after them do not search again
+        exact = written(top(refine_by_document(top(exact_units(prepared, ctx), k).drop("rank"), referenced), k).drop("inside"), "exact")
+        ctx = few(written(ctx.join(exact.select("query_id").distinct(), "query_id", "left_anti"), "questions"))
+        parts = written(top(hierarchy_units(prepared, ctx, referenced), k), "parts")
         special = exact.unionByName(parts)
-        ctx = rest.join(parts.select("query_id").distinct(), "query_id", "left_anti")
+        ctx = ctx.join(parts.select("query_id").distinct(), "query_id", "left_anti")
     general = rank_general(refine_by_document(general_scan(prepared, ctx, mode), referenced)).drop("inside")
     general = inject_recall(general, k) if mode == "hybrid" else general.where(c("rank") <= k)
     return general if special is None else special.unionByName(general)
@@ -286,15 +290,15 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 3, mode: str = "hybri
     ctx = contexts(queries)
     if mode != "lexical":
         ctx = ctx.join(queries.select("query_id", "query_vector"), "query_id")
-    prepared = R.prepare(chunks)
+    ctx, prepared = written(ctx, "questions"), written(R.prepare(chunks), "chunks")
     if mode in ("lexical", "embedding", "hybrid"):
         return base_search(prepared, ctx, k, mode).select(*RESULT)
     pool = max(k, V.FILTER_POOL if mode == "hybrid_filtered_rerank" else V.RERANK_POOL)
-    base = base_search(prepared, ctx, pool, "hybrid")
+    base = written(base_search(prepared, ctx, pool, "hybrid"), "candidates")
     plain = base.where(~c("apply_rerank") & (c("rank") <= k))
     pooled = base.where("apply_rerank")
     if mode == "hybrid_filtered_rerank":
         pooled = filter_candidates(pooled)
-    pooled = leaves_order(pooled)
+    pooled = written(leaves_order(pooled), "pool")
     done = rerank(pooled.where("NOT settled").drop("settled"), k)
     return plain.select(*RESULT).unionByName(pooled.where(c("settled") & (c("rank") <= k)).select(*RESULT)).unionByName(done.select(*RESULT))

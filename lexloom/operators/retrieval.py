@@ -133,13 +133,35 @@ def refine_by_document(rows: DataFrame, referenced: DataFrame) -> DataFrame:
     return joined.withColumn("score", moved).drop("ref_document", "ref_path", "ref_names")
 
 
-def rank_general(rows: DataFrame) -> DataFrame:
-    """Ranks of a general scan. Questions of duty that name a document have its chunks first, if there are any."""
+def calls() -> tuple[Column, ...]:
+    """What may be brought into the first k rows, by the kind of question."""
+    return (
+        c("hierarchy") & (R.hierarchy() > 0),
+        c("obligation") & (R.obligation_text() > 0) & (R.obligation_definition() <= 0),
+        R.recall() > 0,
+    )
+
+
+def rank_general(rows: DataFrame, k: int) -> DataFrame:
+    """Rows of a refined general scan with their rank; no more rows than the first k, and the choices for inject_recall, need.
+
+    Questions of duty that name a document have its chunks first, if there are any. One pass sums up the questions;
+    the next ranks each row for itself and for every call that it fits, and k + 3 rows of each leave a task.
+    Adds n_ranked and any_named, over all rows of the question.
+    """
+    named = R.document() >= 1.0
+    sums = rows.groupBy("query_id").agg(F.count("*").alias("n_ranked"), F.max(named).alias("any_named"), F.max(F.coalesce("inside", F.lit(False))).alias("any_inside"))
+    rows = rows.join(few(written(sums, "sums")), "query_id")
     preferred = c("obligation") & c("inside").isNotNull()
     weight = c("score") + R.obligation_internal() * 1.5 + R.document() * 2.0
-    keys = (F.when(preferred & c("inside"), 0).otherwise(1), F.when(preferred & c("any_inside"), -weight).otherwise(-c("score")))
-    flagged = rows.withColumn("any_inside", F.max(F.coalesce("inside", F.lit(False))).over(Window.partitionBy("query_id")))
-    return flagged.withColumn("rank", F.row_number().over(in_order(*keys))).drop("any_inside")
+    fits = F.array(F.lit(0), *(F.when(named & call, i) for i, call in enumerate(calls(), 1)))
+    rows = rows.withColumns({"first_key": F.when(preferred & c("inside"), 0).otherwise(1), "second_key": F.when(preferred & c("any_inside"), -weight).otherwise(-c("score"))})
+    order = [c("first_key"), c("second_key"), c("score").desc(), c("chunk_index"), c("chunk_id"), c("entry_ord")]
+    listed = rows.withColumn("list", F.explode(F.array_compact(fits)))
+    listed = listed.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "list").orderBy(*order))).where(c("nth") <= k + 3)
+    once = F.row_number().over(Window.partitionBy("query_id", "chunk_id", "entry_ord").orderBy("list"))
+    kept = listed.withColumn("nth", once).where("nth = 1").drop("nth", "list")
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).drop("first_key", "second_key", "any_inside")
 
 
 def inject_recall(rows: DataFrame, k: int) -> DataFrame:
@@ -149,20 +171,14 @@ def inject_recall(rows: DataFrame, k: int) -> DataFrame:
     """
     per_query = Window.partitionBy("query_id")
     rows = rows.withColumns({"named": R.document() >= 1.0, "slot": F.when(c("rank") <= k, c("rank"))})
-    rows = rows.withColumn("open", (F.max("rank").over(per_query) > k) & F.max("named").over(per_query))
-    calls = (
-        c("hierarchy") & (R.hierarchy() > 0),
-        c("obligation") & (R.obligation_text() > 0) & (R.obligation_definition() <= 0),
-        R.recall() > 0,
-    )
-    for call in calls:
-        fits = c("open") & c("slot").isNull() & c("named") & call
+    for call in calls():
+        fits = (c("n_ranked") > k) & c("any_named") & c("slot").isNull() & c("named") & call
         rows = rows.withColumn("chosen", F.min(F.when(fits, c("rank"))).over(per_query))
         stays = c("slot").isNotNull() & (c("chosen").isNull() | (c("slot") < k))
         rows = rows.withColumn("member", stays | F.coalesce(c("rank") == c("chosen"), F.lit(False)))
         anew = F.row_number().over(in_order(F.when(c("member"), 0).otherwise(1)))
         rows = rows.withColumn("anew", anew).withColumn("slot", F.when(c("member"), F.when(c("chosen").isNull(), c("slot")).otherwise(c("anew")))).drop("chosen", "member", "anew")
-    return rows.where("slot IS NOT NULL").withColumn("rank", c("slot")).drop("named", "slot", "open")
+    return rows.where("slot IS NOT NULL").withColumn("rank", c("slot")).drop("named", "slot")
 
 
 def candidate_features(rows: DataFrame) -> DataFrame:
@@ -273,8 +289,8 @@ def base_search(prepared: DataFrame, ctx: DataFrame, k: int, mode: str) -> DataF
         parts = written(top(hierarchy_units(prepared, ctx, referenced), k), "parts")
         special = exact.unionByName(parts)
         ctx = ctx.join(parts.select("query_id").distinct(), "query_id", "left_anti")
-    general = rank_general(refine_by_document(general_scan(prepared, ctx, mode), referenced)).drop("inside")
-    general = inject_recall(general, k) if mode == "hybrid" else general.where(c("rank") <= k)
+    general = written(rank_general(refine_by_document(general_scan(prepared, ctx, mode), referenced), k).drop("inside"), "ranked")
+    general = (inject_recall(general, k) if mode == "hybrid" else general.where(c("rank") <= k)).drop("n_ranked", "any_named")
     return general if special is None else special.unionByName(general)
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed_values as V
-from lexloom.functions.text import dedupe_key, first_sentence, normalized, preview, tokens
-from lexloom.operators import overlap, reports, retrieval
+from lexloom.functions.text import dedupe_key, first_sentence, normalized, preview, strip, tokens
+from lexloom.operators import graph, overlap, reports, retrieval, segmentation
 from lexloom.plans.query_context import contexts, route_mode
 from lexloom.sources.chunks import document_chunks, window_chunks
 from lexloom.sources.tables import table
@@ -200,6 +200,31 @@ def q_query_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctx.select("query_id", "definition", "strict_definition", "capability", "obligation", "heading_lookup", "amendment", "document_hint", "legal_action", route_mode(c("raw"), F.lit("auto")).alias("mode"))
 
 
+_LINES = "list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|\\n|\\r'), lambda x: trim(x, chr(9) || ' ')), lambda x: x <> '')"
+
+
+@query(f"""
+SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(i AS VARCHAR) AS section_id, 'Section ' || i AS section_heading, sha256('Section ' || i || chr(10) || i || '. ' || lines[i]) AS text_sha256
+FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, {_LINES} AS lines FROM documents))
+""")
+def q_legal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose lines are numbered paragraphs, segmented into units."""
+    lines = F.filter(F.transform(F.split("text", r"\R"), strip), lambda x: x != "")
+    numbered = F.array_join(F.transform(lines, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+    docs = table(spark, sf_dir, "documents").select(c("doc_id").cast("string").alias("document_id"), numbered.alias("text"), F.lit("corpus").alias("source_path"), F.lit("Records").alias("act_title"), F.lit("section").alias("unit_type_hint"))
+    return segmentation.legal_units(docs).select("document_id", "section_id", "section_heading", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"""
+SELECT doc_id || ':section:' || i AS src, doc_id || ':section:' || (i + 1) AS dst
+FROM (SELECT doc_id, unnest(range(1, CAST(ceil(len(regexp_extract_all(text, '\\S+')) / {V.CHUNK_WORDS - V.OVERLAP_WORDS}.0) AS BIGINT))) AS i FROM documents)
+""")
+def q_next_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between consecutive units of all documents' chunks."""
+    built = graph.build(document_chunks(table(spark, sf_dir, "documents")))
+    return built.edges.where("edge_type = 'NEXT_UNIT'").select("src", "dst")
+
+
 #: The stated questions of the search queries.
 QUESTIONS = [
     "Which section of the Records of src3 deals with the and that?",

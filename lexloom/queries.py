@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import fixed_values as V
 from lexloom.functions.text import dedupe_key, first_sentence, normalized, preview, strip, tokens
-from lexloom.operators import graph, overlap, reports, retrieval, segmentation
+from lexloom.operators import answers, evaluation, graph, overlap, reports, retrieval, segmentation
 from lexloom.plans.query_context import contexts, route_mode
 from lexloom.sources.chunks import document_chunks, window_chunks
 from lexloom.sources.tables import table
@@ -225,6 +225,52 @@ def q_next_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.edges.where("edge_type = 'NEXT_UNIT'").select("src", "dst")
 
 
+_CASES = f"""
+WITH {_TOPK},
+r AS (SELECT q.query_id, 'src' || (q.query_id % 20) AS want, t.rank, d.source, d.lang FROM q LEFT JOIN top t USING (query_id) LEFT JOIN documents d USING (doc_id)),
+g AS (SELECT query_id, coalesce(max(rank), 0) > 0 AS answered, coalesce(bool_or(source = want AND lang = 'en' AND rank = 1), false) AS hit_at_1,
+  coalesce(bool_or(source = want AND lang = 'en'), false) AS hit_at_3, coalesce(bool_or(source = want), false) AS act FROM r GROUP BY 1)
+SELECT query_id, hit_at_1, hit_at_3, answered, CASE WHEN hit_at_3 OR NOT answered THEN 'none' WHEN act THEN 'wrong_section' ELSE 'wrong_act' END AS miss FROM g
+"""
+
+
+def _named_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical results as results of acts (sources) and sections (languages)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    rows = F.broadcast(q_lexical_topk(spark, sf_dir)).join(docs, "doc_id")
+    none = F.lit(None).cast("string")
+    return rows.select("query_id", "rank", (c("score") * 2).alias("score"), c("source").alias("act_title"), c("doc_id").cast("string").alias("document_id"), F.lit("section").alias("unit_type"), F.lit("").alias("unit_id"), c("lang").alias("section_id"), none.alias("subsection_id"), none.alias("paragraph_id"))
+
+
+@query(_CASES)
+def q_gold_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = table(spark, sf_dir, "benchmark").select(c("item_id").alias("query_id"), F.concat(F.lit("src"), (c("item_id") % 20).cast("string")).alias("expected_act_title"), F.lit("en").alias("expected_section_id"), F.lit(None).cast("string").alias("expected_subsection_id"))
+    return evaluation.cases(gold, _named_results(spark, sf_dir))
+
+
+@query(f"""
+SELECT count(*) AS cases, round(coalesce(avg(CAST(hit_at_1 AS INTEGER)), 0), 9) AS hit_at_1, round(coalesce(avg(CAST(hit_at_3 AS INTEGER)), 0), 9) AS hit_at_3,
+  count(*) FILTER (miss = 'none') AS miss_none, count(*) FILTER (miss = 'right_section_wrong_subsection') AS miss_right_section_wrong_subsection,
+  count(*) FILTER (miss = 'wrong_section') AS miss_wrong_section, count(*) FILTER (miss = 'wrong_act') AS miss_wrong_act FROM ({_CASES})
+""")
+def q_gold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluation.summary(q_gold_cases(spark, sf_dir))
+    return out.withColumns({n: F.round(n, 9) for n in ("hit_at_1", "hit_at_3")})
+
+
+@query(f"""
+WITH {_TOPK},
+r AS (SELECT q.query_id, t.rank, t.score * 2 AS score, d.source || ', Section ' || d.lang AS cite FROM q LEFT JOIN top t USING (query_id) LEFT JOIN documents d USING (doc_id)),
+g AS (SELECT query_id, max(rank) AS n, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 2) AS s2, max(cite) FILTER (rank = 1) AS c1, max(cite) FILTER (rank = 2) AS c2, max(cite) FILTER (rank = 3) AS c3 FROM r GROUP BY 1),
+e AS (SELECT *, CASE WHEN n IS NULL THEN 'none' WHEN s1 < 0.6 THEN 'weak' WHEN s1 - s2 <= 0.08 AND c1 <> c2 THEN 'ambiguous' ELSE 'grounded' END AS decision FROM g)
+SELECT query_id, decision, CASE WHEN decision = 'none' THEN '' WHEN decision = 'weak' THEN c1
+  ELSE c1 || CASE WHEN c2 <> c1 THEN '|' || c2 ELSE '' END || CASE WHEN c3 <> c1 AND c3 <> c2 THEN '|' || c3 ELSE '' END END AS citations, decision = 'grounded' AS grounded FROM e
+""")
+def q_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(c("item_id").alias("query_id"), c("text").alias("query"))
+    return answers.decide(items, _named_results(spark, sf_dir)).withColumn("citations", F.array_join("citations", "|"))
+
+
 #: The stated questions of the search queries.
 QUESTIONS = [
     "Which section of the Records of src3 deals with the and that?",

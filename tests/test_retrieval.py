@@ -61,9 +61,14 @@ DEFINITION = "What is the definition of wages in the Employment Act 1955?"
 DUTY = "What must an employer do under the Occupational Safety and Health Act 1994?"
 
 
+AMENDMENT = "Which amendment introduces general duties in the Occupational Safety and Health Act 1994?"
+
+
 @pytest.mark.parametrize("mode", ["hybrid", "hybrid_filtered_rerank"])
 def test_questions_of_law(spark, mode):
-    unit, impossible, part, definition, duty, blank = found(spark, LAWS, [(q, NONE) for q in (UNIT, IMPOSSIBLE, PART, DEFINITION, DUTY, "")], mode=mode)
+    questions = (UNIT, IMPOSSIBLE, PART, DEFINITION, DUTY, "", AMENDMENT)
+    unit, impossible, part, definition, duty, blank, amendment = found(spark, LAWS, [(q, NONE) for q in questions], mode=mode)
+    assert amendment[0][0].startswith("safety_act")
     assert [x for x, _ in unit] == ["employment_act:2:0", "safety_act:2:2"]
     assert impossible == blank == []
     assert {x for x, _ in part} == {"safety_act:15:0", "safety_act:17:1"}

@@ -30,6 +30,18 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows in an Arrow batch between Spark and Python: long texts make it heavy, and both sides hold several.
+BATCH_ROWS = 500
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches hold BATCH_ROWS rows at most (unless it was set to fewer)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -32,11 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.llm._shared import in_small_batches
+
 #: Fixed value: the published byte-level pre-split pattern.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Words kept per worker before the cache starts anew.
-CACHED_WORDS = 600_000
-CACHED_ARCS = 1_000_000
+#: Pieces of text, first pieces of lines (and odd words), and arcs kept per worker before their cache starts anew.
+CACHED_WORDS, CACHED_FIRST, CACHED_ARCS = 250_000, 50_000, 300_000
 _NEVER = 1 << 60
 
 
@@ -137,18 +139,18 @@ class TokenAutomaton:
 
 
 class _Words(dict):
-    """Piece of text -> token ids. A piece that starts or ends with white space, or is empty, gives None."""
+    """Piece of text -> its token ids, packed. A piece that starts or ends with white space, or is empty, gives None."""
 
-    def __init__(self, automaton: TokenAutomaton, prefix: str):
-        self.automaton, self.prefix = automaton, prefix
+    def __init__(self, encoder: Encoder, prefix: str, most: int):
+        self.encoder, self.prefix, self.most = encoder, prefix, most
 
     def __missing__(self, piece: str):
-        if len(self) >= CACHED_WORDS:
+        if len(self) >= self.most:
             self.clear()
         if not piece or piece[0].isspace() or piece[-1].isspace():
             ids = None
         else:
-            ids = tuple(chain.from_iterable(self.automaton.encode_word(w.encode()) for w in SPLIT.findall(self.prefix + piece)))
+            ids = self.encoder.pack(chain.from_iterable(self.encoder.automaton.encode_word(w.encode()) for w in SPLIT.findall(self.prefix + piece)))
         self[piece] = ids
         return ids
 
@@ -156,51 +158,51 @@ class _Words(dict):
 class Encoder:
     """Whole texts to ids. Pieces between single blanks and line ends never share a token with their
     neighbours, so they are split off and looked up; a text with any other white space at a piece's edge is
-    split by the full pattern."""
+    split by the full pattern. Ids are packed as unsigned integers of two bytes (four for larger vocabularies)."""
 
     def __init__(self, automaton: TokenAutomaton):
         self.automaton = automaton
-        self.first, self.later, self.words = _Words(automaton, ""), _Words(automaton, " "), {}
-        self.line_end = automaton.encode_word(b"\n")
+        self.kind = "H" if len(automaton.labels) <= 1 << 16 else "I"
+        self.first, self.later, self.words = _Words(self, "", CACHED_FIRST), _Words(self, " ", CACHED_WORDS), {}
+        self.line_end = self.pack(automaton.encode_word(b"\n"))
+
+    def pack(self, ids: Iterable[int]) -> bytes:
+        return array(self.kind, ids).tobytes()
 
-    def _by_pattern(self, text: str) -> list[int]:
-        out: list[int] = []
+    def _by_pattern(self, text: str) -> list[bytes]:
+        out: list[bytes] = []
         for w in SPLIT.findall(text):
             ids = self.words.get(w)
             if ids is None:
-                if len(self.words) >= CACHED_WORDS:
+                if len(self.words) >= CACHED_FIRST:
                     self.words.clear()
-                ids = self.words[w] = self.automaton.encode_word(w.encode())
-            out += ids
+                ids = self.words[w] = self.pack(self.automaton.encode_word(w.encode()))
+            out.append(ids)
         return out
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
         if not text:
-            return []
-        out: list[int] = []
-        first, later, end = self.first, self.later.__getitem__, self.line_end
+            return b""
+        first, later = self.first, self.later.__getitem__
         try:
+            lines = []
             for line in text.split("\n"):
                 head, *rest = line.split(" ")
-                out += first[head]
-                out += chain.from_iterable(map(later, rest))
-                out += end
+                lines.append(first[head] + b"".join(map(later, rest)))
+            return self.line_end.join(lines)
         except TypeError:  # a None among the pieces
-            return self._by_pattern(text)
-        del out[len(out) - len(end) :]
-        return out
+            return b"".join(self._by_pattern(text))
 
-    def encode(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
         auto = self.automaton
         if auto.special_split is None or not any(s in text for s in auto.specials):
-            return self._plain(text)
-        out: list[int] = []
-        for part in auto.special_split.split(text):
-            if part in auto.specials:
-                out.append(auto.specials[part])
-            else:
-                out += self._plain(part)
-        return out
+            packed = self._plain(text)
+        else:
+            packed = b"".join(self.pack([auto.specials[part]]) if part in auto.specials else self._plain(part) for part in auto.special_split.split(text))
+        return np.frombuffer(packed, self.kind)
+
+    def encode(self, text: str) -> list[int]:
+        return self.ids(text).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -230,13 +232,12 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col:
                 part = batch.slice(start, 256)
                 ids, offsets = [], [0]
                 for text in part.column(len(kept)).to_pylist():
-                    one = encoder.encode(text or "")
-                    ids.append(np.array(one, np.int32))
-                    offsets.append(offsets[-1] + len(one))
-                column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids)))
+                    ids.append(encoder.ids(text or ""))
+                    offsets.append(offsets[-1] + len(ids[-1]))
+                column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], names=[*kept, ids_col])
 
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return in_small_batches(df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`"))).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -256,7 +257,7 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: s
                 texts = [automaton.decode(x.values.tolist() if x.values is not None else []) for x in part.column(len(kept))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*kept, text_col])
 
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{ids_col}`")).mapInArrow(run, schema)
+    return in_small_batches(df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{ids_col}`"))).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._shared import slices, utf8_rows
+from lexloom.llm._shared import in_small_batches, slices, utf8_rows
 
 WINDOW = 256
 STRIDE = 2
@@ -199,4 +199,4 @@ def predict(docs: DataFrame, net: ByteCnn | None, text_col: str = "text", lang_c
                         langs[i], scores[i] = net.langs[lang], score
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, text_col, lang_col, score_col])
 
-    return docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col])).mapInArrow(run, schema)
+    return in_small_batches(docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col]))).mapInArrow(run, schema)

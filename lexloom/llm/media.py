@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._shared import utf8_rows
+from lexloom.llm._shared import in_small_batches, utf8_rows
 
 BLOCK = 64
 RATE = 8000
@@ -196,7 +196,7 @@ def store_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 media = [wav(t + bytes(-len(t) % BLOCK if t else BLOCK)) for t in texts]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(len, texts), pa.int64()), pa.array([UNKNOWN] * len(texts), pa.string()), pa.array(media, pa.binary())], names=schema.names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col])).mapInArrow(run, schema)
+    return in_small_batches(docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col]))).mapInArrow(run, schema)
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("type", T.StringType())]))
@@ -239,4 +239,4 @@ def read_media(table: DataFrame, media_col: str = "media") -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=schema.names)
 
-    return table.select(*(F.col(f"`{c}`") for c in [*kept, media_col])).mapInArrow(run, schema)
+    return in_small_batches(table.select(*(F.col(f"`{c}`") for c in [*kept, media_col]))).mapInArrow(run, schema)

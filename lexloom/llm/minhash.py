@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._shared import durable, slices, utf8_rows
+from lexloom.llm._shared import durable, in_small_batches, slices, utf8_rows
 from lexloom.llm.components import components
 
 BANDS, ROWS, MANTISSA = 32, 4, 10
@@ -67,7 +67,7 @@ def _range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     return (sums[ends] - sums[starts]) * back[starts]
 
 
-def _pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+def _pieces(text: bytes, most: int = 1 << 19) -> Iterator[bytes]:
     """The text cut at blanks into pieces of about `most` bytes; a longer word stays whole."""
     at = 0
     while len(text) - at > most:
@@ -83,7 +83,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts, and where each text's words start (one more entry at the end)."""
     hashes, counts = [], np.zeros(len(texts), np.int64)
     pieces = [(i, p) for i, t in enumerate(texts) for p in _pieces(t)]
-    for start, stop in slices([len(p) + 1 for _, p in pieces], 1 << 20):
+    for start, stop in slices([len(p) + 1 for _, p in pieces], 1 << 19):
         some = pieces[start:stop]
         data = _LOWER[np.frombuffer(b" ".join(p for _, p in some) + b" ", np.uint8)]
         inside = ~_BLANK[data]
@@ -155,14 +155,14 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8_rows(batch.column(1))
-            for start, stop in slices([len(t) + 64 for t in texts], 1 << 21):
+            for start, stop in slices([len(t) + 64 for t in texts], 1 << 20):
                 words, at = word_hashes(texts[start:stop])
                 sets = shingle_sets(words, at, k)
                 seq1, seq2 = sequence_hashes(words, at)
                 sketch = [registers(s).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(seq1), pa.array(seq2), pa.array(sketch, pa.binary())], names=SIGNATURE.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNATURE)
+    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, SIGNATURE)
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -266,11 +266,11 @@ def true_links(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> Da
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = utf8_rows(batch.column(4))
-            for start, stop in slices([len(t) + 64 for t in data], 1 << 21):
+            for start, stop in slices([len(t) + 64 for t in data], 1 << 20):
                 sets = shingle_sets(*word_hashes(data[start:stop]), k)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, stop - start) for i in range(4)), pa.array([s.tobytes() for s in sets], pa.binary())], names=schema.names)
 
-    sets = texts.select("cluster", "blocks", "block", "rep", "text").mapInArrow(to_sets, schema)
+    sets = in_small_batches(texts.select("cluster", "blocks", "block", "rep", "text")).mapInArrow(to_sets, schema)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = sets.withColumn("other", other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "shingles")
     keys = ["cluster", "i", "j"]

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.llm._shared import in_small_batches
+
 # The base rules, in the order in which kinds are listed.
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), 12),
@@ -244,7 +246,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 every.append([{"kind": k, "start": s, "end": e} for s, e, k in all_spans])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, kind_type), pa.array(every, kind_type)], names=[*kept, text_col, "base_spans", "secret_spans"])
 
-    return docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col])).mapInArrow(run, schema)
+    return in_small_batches(docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col]))).mapInArrow(run, schema)
 
 
 def joined(spans: str):
@@ -283,7 +285,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
 
     if counted:
         schema = schema.add(docs.schema["n_chars"])
-    out = docs.select(*(F.col(f"`{c}`") for c in [*rest, "text", *["n_chars"] * counted])).mapInArrow(run, schema)
+    out = in_small_batches(docs.select(*(F.col(f"`{c}`") for c in [*rest, "text", *["n_chars"] * counted]))).mapInArrow(run, schema)
     if counted:
         out = out.withColumn("n_chars", F.when(F.col("changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in names))

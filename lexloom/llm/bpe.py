@@ -38,7 +38,7 @@ from lexloom.llm._shared import in_small_batches
 #: Fixed value: the published byte-level pre-split pattern.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Pieces of text, first pieces of lines (and odd words), and arcs kept per worker before their cache starts anew.
-CACHED_WORDS, CACHED_FIRST, CACHED_ARCS = 250_000, 50_000, 300_000
+CACHED_WORDS, CACHED_FIRST, CACHED_ARCS = 600_000, 100_000, 300_000
 _NEVER = 1 << 60
 
 
@@ -74,7 +74,6 @@ class TokenAutomaton:
         for label in self.arcs:
             if len(label) > 3:
                 self.reach[label[:4]] = max(len(label), self.reach.get(label[:4], 0))
-        self.id_text = [str(i) for i in range(size)]
 
     def _add_gadget(self, rank: int, u: str, v: str, vocab: dict[str, int]) -> None:
         a, b, w = vocab[u], vocab[v], vocab[u + v]
@@ -204,6 +203,11 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         return self.ids(text).tolist()
 
+    def forget(self) -> None:
+        """Drop what was looked up, so that a worker that goes on with other work holds the automaton only."""
+        for known in (self.first, self.later, self.words, self.automaton.table):
+            known.clear()
+
 
 @lru_cache(maxsize=2)
 def _encoder(definition: bytes) -> Encoder:
@@ -236,6 +240,7 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col:
                     offsets.append(offsets[-1] + len(ids[-1]))
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], names=[*kept, ids_col])
+        encoder.forget()
 
     return in_small_batches(df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`"))).mapInArrow(run, schema)
 

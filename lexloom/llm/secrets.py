@@ -2,9 +2,10 @@
 
 Grammar inference: the labelled credentials of one format make a prefix tree with counts; walking it in
 red-blue order, a state is merged into an earlier one when a Hoeffding bound cannot tell their symbol and end
-frequencies apart (recursively over the subtrees). The result is a probabilistic automaton per format. Every
-candidate run of a text is scored by its mean log-likelihood under each automaton; what scores as high as the
-format's own labelled credentials do is a secret of that format.
+frequencies apart (recursively over the subtrees). The result is a probabilistic automaton per format. Candidates
+are scored by their mean log-likelihood under an automaton; what scores as high as the format's own labelled
+credentials do is a secret of that format. Candidates are whole runs of credential characters and, inside the
+runs, whatever begins as all labelled credentials of a format do and goes on in their characters.
 
 The first PREFIX characters of a string are symbols of their own (they carry published prefixes); later ones
 are symbols by class. The labelled credentials are drawn from FORMATS by a seeded generator.
@@ -13,6 +14,7 @@ are symbols by class. The labelled credentials are drawn from FORMATS by a seede
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 from collections.abc import Iterator
@@ -43,7 +45,8 @@ FORMATS = {
     "payment": ("sk_live_", _WORD, (24,)),
     "web_token": ("eyJ", _WORD + "_-.", (90, 120)),
 }
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
 PREFIX = 4
 FLOOR = 1e-6
 
@@ -95,6 +98,13 @@ class FormatAutomaton:
         self.end_log = [math.log2(max(self.ends[q] / total[q], FLOOR)) if total[q] else 0.0 for q in range(len(self.next))]
         self.threshold = min(map(self.score, values)) - 0.1
         self._keep_reachable()
+        self.literal = os.path.commonprefix(values)
+        self.lengths = sorted({len(v) for v in values}, reverse=True)
+        known = {_by_class(c) for v in values for c in v[len(self.literal) :]}
+        letters = "".join(re.escape(c) for c in map(chr, range(128)) if _CLASS[c] in known)
+        # every place of a literal start counts; without one, the stretches are maximal
+        stretch = f"{re.escape(self.literal)}[{letters}]{{{max(1, SHORTEST - len(self.literal))},}}"
+        self.stretch = re.compile(f"(?=({stretch}))" if self.literal else f"({stretch})")
 
     def _keep_reachable(self) -> None:
         number, todo = {0: 0}, [0]
@@ -189,17 +199,41 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def format_spans(text: str, formats: dict[str, FormatAutomaton]) -> list[tuple[int, int, str]]:
-    """Candidate runs (with a digit and a letter) that score as their best format's labelled credentials do."""
+    """Candidates that score as their format's labelled credentials do: runs (with a digit and a letter), and places inside runs."""
     found = []
     for m in CANDIDATE.finditer(text):
         value = m[0]
-        if not (any(c in _DIGIT for c in value) and any(c.isalpha() for c in value)):
+        whole = []
+        if any(c in _DIGIT for c in value) and any(c.isalpha() for c in value):
+            for start, end in dict.fromkeys([(m.start(), m.end()), _trimmed(m)]):
+                best = max(((a.score(text[start:end]) - a.threshold, name) for name, a in formats.items()), default=(-1.0, ""))
+                if best[0] >= 0:
+                    whole.append((start, end, best[1]))
+                    break
+        inside = [(m.start() + s, m.start() + e, name) for name, a in formats.items() if a.literal in value for s, e in _inside(value, a)]
+        found += whole + [x for x in inside if not any(s <= x[0] and x[1] <= e and name == x[2] for s, e, name in whole)]
+    return found
+
+
+def _inside(value: str, automaton: FormatAutomaton) -> list[tuple[int, int]]:
+    """Where credentials of a format stand in a run, whatever is around them.
+
+    A credential has the longest labelled length at which no letter or digit follows, else it takes all of its
+    stretch. A stretch shorter than all labelled credentials needs a digit and a letter.
+    """
+    found = []
+    for m in automaton.stretch.finditer(value):
+        start, end = m.span(1)
+        if end - start < automaton.lengths[-1] and not (any(c in _DIGIT for c in m[1]) and any(c.isalpha() for c in m[1])):
             continue
-        for start, end in dict.fromkeys([(m.start(), m.end()), _trimmed(m)]):
-            best = max(((a.score(text[start:end]) - a.threshold, name) for name, a in formats.items()), default=(-1.0, ""))
-            if best[0] >= 0:
-                found.append((start, end, best[1]))
-                break
+        ends = [start + n for n in automaton.lengths if start + n < end and not value[start + n].isalnum()]
+        if end - start in automaton.lengths:
+            ends.insert(0, end)
+        else:
+            ends.append(end)
+        stop = next((e for e in ends if automaton.score(value[start:e]) >= automaton.threshold), None)
+        if stop is not None:
+            found.append((start, stop))
     return found
 
 
@@ -210,6 +244,8 @@ def _trimmed(m: re.Match) -> tuple[int, int]:
     start, end = m.start() + cut, m.end()
     while end > start and value[end - 1 - m.start()] in "=.-/":
         end -= 1
+    while start < end and value[start - m.start()] in "=.-/":
+        start += 1
     return start, end
 
 
@@ -217,10 +253,9 @@ _RANK = {name: i for i, name in enumerate([*(k for k, _, _ in BASE), *FORMATS])}
 
 
 def find_spans(text: str, formats: dict[str, FormatAutomaton]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """The base spans; and these with the learned ones that touch none of them. By start, then kind as listed."""
+    """The base spans; and these with the learned ones beside them. By start, then kind as listed."""
     found = base_spans(text)
-    more = [x for x in format_spans(text, formats) if not any(s < x[1] and x[0] < e for s, e, _ in found)]
-    return found, sorted(found + more, key=lambda x: (x[0], _RANK[x[2]], x[1]))
+    return found, sorted(found + format_spans(text, formats), key=lambda x: (x[0], _RANK[x[2]], x[1]))
 
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -229,8 +264,8 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add base_spans and secret_spans, arrays of (kind, start, end) in code points, ordered by start, then kind as listed.
 
-    secret_spans holds base_spans and the spans that only the learned formats find (not those inside a base
-    span). Null and empty texts have none. Other columns and repeated rows stay.
+    secret_spans holds base_spans and all spans that the learned formats find, those over base spans too. Null
+    and empty texts have none. Other columns and repeated rows stay.
     """
     formats = learned_formats()
     kept = [c for c in docs.columns if c not in ("base_spans", "secret_spans", text_col)]

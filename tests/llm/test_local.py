@@ -97,6 +97,30 @@ def test_learned_formats_know_new_credentials_and_leave_words_alone():
         assert secrets.format_spans(text, formats) == []
 
 
+@pytest.mark.parametrize("around", [("https://", "@github.com"), ("/hooks/", "/send"), ("...", ""), ("repo-", ""), ("a.b/", ".x"), ("see=", "=1"), ("https://host.example/a/b1?key=", "&x=1"), ("x_y--", " "), ("+", "/+/")])
+def test_credentials_are_found_whatever_is_around_them(around):
+    formats = secrets.learned_formats()
+    front, back = around
+    for name, value in secrets.labelled_credentials(40, seed=78):
+        text = f"{front}{value}{back}"
+        spans = secrets.find_spans(text, formats)[1]
+        assert any(k == name and s <= len(front) and e >= len(front) + len(value) for s, e, k in spans), (name, text, spans)
+        if name != "web_token" and not value.endswith(("-", "_")):  # these may go on in the marks around them
+            assert any((s, e) == (len(front), len(front) + len(value)) for s, e, _ in spans), (name, text, spans)
+        masked = secrets.mask_spans(text, spans, "#")
+        assert not any(value[i : i + 12] in masked for i in range(len(value) - 11))
+
+
+def test_credentials_without_digits_and_over_base_spans():
+    formats = secrets.learned_formats()
+    for name, value in (("payment", "sk_live_" + "abcXYZghiJKLmnoPQRstuVWx"), ("code_host", "ghp_" + "abcdefghijklMNOPQRSTUVWXYZabcdefghijkl")):
+        assert (0, len(value), name) in secrets.find_spans(value, formats)[1]
+        base, every = secrets.find_spans(f"token={value}", formats)
+        assert base == [(0, 6 + len(value), "assign")] and set(base) < set(every) and (6, 6 + len(value), name) in every
+    for text in ("your-xoxb-token-goes-here", "the-eyJ-is-a-start", "docs/sk_live_placeholder/page", "x" * 150, "https/www.example.com/ghp_a1/b2/c3d4e5f6g7"):
+        assert secrets.find_spans(text, formats)[1] == []
+
+
 def test_masking_joins_overlapping_spans():
     assert secrets.mask_spans("abcdefghij", [(1, 6, "a"), (3, 5, "b"), (5, 8, "c"), (9, 10, "d")], "#") == "a#i#"
 

@@ -36,8 +36,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix to target weights: a document has one row for each time it is used."""
-    return mixing.mix(docs).select(*docs.columns)
+    """The mix to target weights, of whole documents: a document has one row for each time it is used."""
+    return mixing.mix(docs, whole=True).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Sizes are words. Sources have target words by weight (water filling, at most MOST times a source's size).
 Each source is cut into blocks by a hash of its documents; a pass over a source uses each block once. A source
 whose target is r times its size takes floor(r) whole passes and, of one more pass, the blocks that come first
-in a seeded permutation, up to the target: of its last block the documents with the smallest hashes, and of the
-last document as many words as are still due. These are exact block quotas.
+in a seeded permutation, up to the target: of its last block the documents with the smallest hashes. These are
+exact block quotas. With `whole`, the last document is taken whole or not at all, whichever ends nearer the
+target; without, as many of its words as are still due.
 
 The splitting tree deals the quotas to output shards: the root holds the quota vector of all sources; a node
 draws how many blocks of each source go to its left half of shards from the multivariate hypergeometric
@@ -85,9 +86,10 @@ PLAN = T.StructType(
 
 
 def _measure(docs: DataFrame) -> DataFrame:
-    """Add _source, _size and the document's places: block, cell of the block, place in the cell (hashes of doc_id and size)."""
+    """Add _source, _size and the document's places: block, cell of the block, place in the cell (hashes of doc_id and size, without an id of the text too)."""
     sized = docs.withColumns({"_source": F.col("source"), "_size": n_words(F.col("text"))})
-    hashed = lambda salt: F.xxhash64(F.lit(salt), F.lit(SEED), "doc_id", "_size")
+    unnamed = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # null for the others: adds nothing to their hash
+    hashed = lambda salt: F.xxhash64(F.lit(salt), F.lit(SEED), "doc_id", "_size", unnamed)
     return sized.withColumns({"_block": F.pmod(hashed("block"), F.lit(BLOCKS)).cast("int"), "_fine": F.pmod(hashed("fine"), F.lit(FINE)).cast("int"), "_place": hashed("place")})
 
 
@@ -95,7 +97,7 @@ def _permuted(blocks: list[int], source: int, epoch: int) -> list[int]:
     return [blocks[k] for k in np.random.default_rng([SEED, source, epoch]).permutation(len(blocks))]
 
 
-def plan(docs: DataFrame, shard_words: int = 50_000_000) -> tuple[DataFrame, DataFrame]:
+def plan(docs: DataFrame, shard_words: int = 50_000_000, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """(measured, table): the documents' doc_id and places, and the PLAN rows with where their part pass ends."""
     spark = docs.sparkSession
     measured = durable(_measure(docs.select("doc_id", "source", "text")).drop("source", "text"), "mixing")
@@ -136,14 +138,16 @@ def plan(docs: DataFrame, shard_words: int = 50_000_000) -> tuple[DataFrame, Dat
             cut = cuts[i] is not None and cuts[i][0] == b
             rows.append((s, b, sizes[i], float(targets[i]), len(shards_of[b]) - cut, shards_of[b]))
     table = spark.createDataFrame(rows, PLAN)
-    at = _cut_places(measured, [(s, *c) for s, c in zip(sources, cuts, strict=True) if c])
+    at = _cut_places(measured, [(s, *c) for s, c in zip(sources, cuts, strict=True) if c], whole)
     table = table.join(F.broadcast(at), table["plan_source"].eqNullSafe(at["cut_source"]) & (table["plan_block"] == at["cut_block"]), "left").drop("cut_source", "cut_block")
     return measured, F.broadcast(table) if len(rows) <= 1 << 16 else table
 
 
-def _cut_places(measured: DataFrame, cuts: list[tuple[str | None, int, int]]) -> DataFrame:
+def _cut_places(measured: DataFrame, cuts: list[tuple[str | None, int, int]], whole: bool) -> DataFrame:
     """Where each source's part pass ends (one row a source at most): cell and place, and the words due of a document there.
 
+    With `whole`, these are all words or none.
+
     First by sums over the FINE cells of the cut block, then by the documents of one cell.
     """
     given = F.broadcast(measured.sparkSession.createDataFrame(cuts, "cut_source string, cut_block int, due long"))
@@ -152,7 +156,8 @@ def _cut_places(measured: DataFrame, cuts: list[tuple[str | None, int, int]]) ->
     cell = F.broadcast(_crossing(cells, "_fine").select("cut_source", "cut_block", F.col("_fine").alias("cut_fine"), F.col("still").alias("due")))
     inside = measured.join(cell, same & (F.col("_fine") == F.col("cut_fine")))
     places = inside.groupBy("cut_source", "cut_block", "cut_fine", "due", "_place").agg(F.sum("_size").alias("words"), F.count("*").alias("n"))
-    return _crossing(places, "_place").select("cut_source", "cut_block", "cut_fine", F.col("_place").alias("cut_place"), F.floor(F.col("still") / F.col("n")).cast("long").alias("cut_words"))
+    due = F.when(F.col("still") * 2 > F.col("words"), F.col("words")).otherwise(0) if whole else F.floor(F.col("still") / F.col("n"))
+    return _crossing(places, "_place").select("cut_source", "cut_block", "cut_fine", F.col("_place").alias("cut_place"), due.cast("long").alias("cut_words"))
 
 
 def _crossing(table: DataFrame, order: str) -> DataFrame:
@@ -170,13 +175,14 @@ def _decide(measured: DataFrame, table: DataFrame) -> DataFrame:
     return decided.withColumn("_part", part.cast("long")).withColumn("_uses", F.col("plan_passes") + F.when(F.col("_part") > 0, 1).otherwise(0))
 
 
-def taken(docs: DataFrame, shard_words: int = 50_000_000) -> DataFrame:
+def taken(docs: DataFrame, shard_words: int = 50_000_000, whole: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken and shards (one per use of the document) of every document.
 
     Null text has size 0 and is taken with its block, adding no words. Repeated rows are taken each for itself,
-    but where the cut falls on them they share its words evenly. No rows: no rows.
+    but where the cut falls on them they share its words evenly (with `whole`: all of them are taken, or none).
+    With `whole`, taken is a multiple of size. No rows: no rows.
     """
-    decided = _decide(*plan(docs, shard_words))
+    decided = _decide(*plan(docs, shard_words, whole))
     return decided.select(
         "doc_id",
         F.col("_size").alias("size"),
@@ -187,23 +193,23 @@ def taken(docs: DataFrame, shard_words: int = 50_000_000) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, shard_words: int = 50_000_000) -> DataFrame:
+def mix(docs: DataFrame, shard_words: int = 50_000_000, whole: bool = False) -> DataFrame:
     """The mix: the columns of docs, and _shard and _rank (a seeded hash, the order within a shard).
 
     A document has one row per use; the use that a cut falls on keeps the first words due (n_chars, where there
-    is one, follows). The documents are not shuffled: the plan comes to them.
+    is one, follows). With `whole`, no text is cut. The documents are not shuffled: the plan comes to them.
     """
-    decided = _decide(_measure(docs), plan(docs, shard_words)[1])
+    decided = _decide(_measure(docs), plan(docs, shard_words, whole)[1])
     each = decided.select("*", F.posexplode(F.slice("plan_shards", F.lit(1), F.col("_uses"))).alias("_use", "_shard"))
     cut = (F.col("_use") >= F.col("plan_passes")) & (F.col("_part") < F.col("_size"))
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD_PATTERN})"), 1), F.lit(1), F.col("_part").cast("int")), "")
-    out = each.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
+    out = each if whole else each.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    if "n_chars" in docs.columns and not whole:
         out = out.withColumn("n_chars", F.when(cut, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), "_shard", F.xxhash64(F.lit(SEED), F.col("_use"), F.col("_place")).alias("_rank"))
 
 
-def write(docs: DataFrame, folder: str, shard_words: int = 50_000_000) -> None:
+def write(docs: DataFrame, folder: str, shard_words: int = 50_000_000, whole: bool = False) -> None:
     """Write the mix, a folder per shard, shuffled locally."""
-    placed = mix(docs, shard_words).repartition("_shard").sortWithinPartitions("_shard", "_rank").drop("_rank")
+    placed = mix(docs, shard_words, whole).repartition("_shard").sortWithinPartitions("_shard", "_rank").drop("_rank")
     placed.write.partitionBy("_shard").parquet(folder)

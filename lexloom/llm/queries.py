@@ -27,7 +27,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(read_table(spark, sf_dir, "documents"))
+    return mixing.taken(read_table(spark, sf_dir, "documents"), whole=True)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

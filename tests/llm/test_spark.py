@@ -186,6 +186,26 @@ def test_mixing_equal_rows_at_the_cut(spark):
     assert len(out) == 6 and len({r["taken"] for r in out}) == 1 and abs(sum(r["taken"] for r in out) - out[0]["target"]) < 6
 
 
+def test_whole_mixtures_cut_no_text(spark, docs):
+    rows = [(i, "w " * (300 + 40 * i), ["few", "more"][i % 2]) for i in range(9)] + [(None, f"x{i} y z", "unnamed") for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.taken(table, whole=True).collect()
+    assert len(out) == len(rows) and all(r["taken"] % r["size"] == 0 and r["taken"] == r["size"] * len(r["shards"]) for r in out)
+    size_of, near = defaultdict(int), defaultdict(int)
+    for r in out:
+        near[r["source_size"], r["target"]] += r["taken"]
+        size_of[r["source_size"], r["target"]] = max(size_of[r["source_size"], r["target"]], r["size"])
+    assert all(abs(got - key[1]) <= size_of[key] / 2 + 1 for key, got in near.items())
+    for given in (table, docs):
+        texts = {(r["doc_id"], r["text"]) for r in given.collect()}
+        mixed = mixing.mix(given, whole=True).collect()
+        assert {(r["doc_id"], r["text"]) for r in mixed} <= texts
+        words_of = lambda found: sum(n_words(r["text"]) for r in found)
+        assert words_of(mixed) == sum(r["taken"] for r in mixing.taken(given, whole=True).collect())
+    staged = corpus_pipeline.mixture(spark, docs, "").collect()
+    assert {(r["doc_id"], r["text"]) for r in staged} <= {(r["doc_id"], r["text"]) for r in docs.collect()}
+
+
 def test_language_of_odd_texts(spark, docs, none):
     net = langid.fit(docs)
     out = {(r["doc_id"], r["lang_pred"]) for r in langid.predict(docs, net).collect()}

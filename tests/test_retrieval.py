@@ -74,3 +74,23 @@ def test_questions_of_law(spark, mode):
     assert {x for x, _ in part} == {"safety_act:15:0", "safety_act:17:1"}
     assert definition[0][0] == "employment_act:2:0"
     assert duty[0][0] == "safety_act:15:0"
+
+
+def test_search_queries_rank_by_real_vectors(spark, tmp_path):
+    import numpy as np
+
+    from lexloom import queries as Q
+
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(300, 6)).astype("float32")
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    docs = [(i, " ".join(f"zz{i}x{j}" for j in range(n)), "en", f"src{i % 9}", 0) for i, n in [(295, 900), (3, 40), (299, 700), *((10 + i, 30) for i in range(40))]]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    chunks = [(d, i) for d, text, *_ in docs for i in range(len(range(0, len(text.split()), 210)))]
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    last = len(Q.QUESTIONS) - 1  # no rule and no word of a chunk meets it
+    near = {f"{d}:{i + 1}:{i}": max(0.0, float(unit[(d + i) % 300] @ unit[Q.QUESTION_VECTORS[last]])) for d, i in chunks}
+    best = sorted(((s, x) for x, s in near.items() if s > 0), key=lambda r: -r[0])[:5]
+    for mode, weight in (("embedding", 1.0), ("hybrid", 0.2)):
+        out = [r for r in Q.QUERIES[f"q_search_{mode}"](spark, str(tmp_path)).orderBy("rank").collect() if r["query_id"] == last]
+        assert [(r["chunk_id"], r["score"]) for r in out] == [(x, pytest.approx(weight * s, abs=2e-6)) for s, x in best]

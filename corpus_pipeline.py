@@ -36,8 +36,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix to target weights, of whole documents: a document has one row for each time it is used."""
-    return mixing.mix(docs, whole=True).select(*docs.columns)
+    """The mix to target weights, of whole documents: a document has one row for each time it is used.
+
+    Rows are in the order of their shards, and shuffled inside a shard; a shard may lie in several partitions.
+    """
+    dealt = mixing.mix(docs, whole=True).repartitionByRange("_shard", "_rank").sortWithinPartitions("_shard", "_rank")
+    return dealt.select(*(f"`{c}`" for c in docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

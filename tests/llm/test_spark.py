@@ -206,6 +206,15 @@ def test_whole_mixtures_cut_no_text(spark, docs):
     assert {(r["doc_id"], r["text"]) for r in staged} <= {(r["doc_id"], r["text"]) for r in docs.collect()}
 
 
+def test_the_mixing_stage_keeps_shards_together_and_shuffled(spark, monkeypatch):
+    table = spark.createDataFrame([(i, f"a{i} b c", "xyz"[i % 3]) for i in range(200)], "doc_id long, text string, source string").repartition(3)
+    mix = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda docs, whole: mix(docs, 100, whole))
+    dealt = sorted(mix(table, 100, True).collect(), key=lambda r: (r["_shard"], r["_rank"]))
+    assert len({r["_shard"] for r in dealt}) == 6
+    assert [r["doc_id"] for r in corpus_pipeline.mixture(spark, table, "").collect()] == [r["doc_id"] for r in dealt]
+
+
 def test_language_of_odd_texts(spark, docs, none):
     net = langid.fit(docs)
     out = {(r["doc_id"], r["lang_pred"]) for r in langid.predict(docs, net).collect()}

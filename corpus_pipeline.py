@@ -15,14 +15,21 @@ from lexloom.llm._shared import read_table, shared_dir
 
 #: Not expressible in SQL (a trained network, a seeded draw, an inferred grammar); tests/llm compares with brute force.
 ORACLE_SQL = None
-#: Texts that no language gets this probability for are rejected, as are those without letters.
+#: Texts of which no window has a language of this probability (less where there are many languages) are rejected, as are those without letters.
 LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; the others go."""
-    found = langid.predict(docs, langid.fit(docs), lang_col="_lang", score_col="_score")
-    return found.where(f"_lang <> 'und' AND _score >= {LEAST_SCORE}").select(*docs.columns)
+    """Documents whose text has a language, by its surest window; the others go.
+
+    Twice an even share among the languages is enough where that is below LEAST_SCORE. Without labelled rows to
+    learn from, all texts with letters stay.
+    """
+    net = langid.fit(docs)
+    if net is None:
+        return docs.where(docs["text"].rlike(r"\p{L}"))
+    found = langid.predict(docs, net, lang_col="_lang", score_col="_score", surest=True)
+    return found.where(f"_lang <> 'und' AND _score >= {min(LEAST_SCORE, 2 / len(net.langs))}").select(*(f"`{c}`" for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

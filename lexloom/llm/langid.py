@@ -75,8 +75,8 @@ class ByteCnn:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    def predict(self, texts: list[bytes], batch: int = 512) -> tuple[list[int], list[float]]:
-        """Language index and probability of each whole, non-empty text."""
+    def predict(self, texts: list[bytes], batch: int = 512, surest: bool = False) -> tuple[list[int], list[float]]:
+        """Language index and probability of each whole, non-empty text; with `surest`, the probability of its surest window."""
         counts = [max(1, -(-len(t) // WINDOW)) for t in texts]
         langs, scores = [], []
         for start, stop in slices(counts, batch):
@@ -94,7 +94,8 @@ class ByteCnn:
             edges = np.concatenate([[0], np.cumsum(n)[:-1]])
             total = np.add.reduceat(probs * size[:, None], edges, axis=0) / np.add.reduceat(size, edges)[:, None]
             langs += total.argmax(axis=1).tolist()
-            scores += np.clip(total.max(axis=1), 0, 1).tolist()
+            best = np.maximum.reduceat(probs.max(axis=1), edges) if surest else total.max(axis=1)
+            scores += np.clip(best, 0, 1).tolist()
         return langs, scores
 
 
@@ -154,7 +155,7 @@ def held_out(doc_id: Column) -> Column:
 def training_windows(docs: DataFrame, per_lang: int = 500, windows: int = 4) -> tuple[list[bytes], list[str]]:
     """The bounded labelled sample: at most 2 * per_lang documents a language are kept, `windows` windows each.
 
-    Documents are drawn by a hash of doc_id below a threshold set from their language's count, so all
+    Only the 1000 most frequent languages are learned. Documents are drawn by a hash of doc_id below a threshold set from their language's count, so all
     documents have the same chance; a window starts at a hashed place of the whole text.
     """
     pool = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -177,8 +178,8 @@ def fit(docs: DataFrame, per_lang: int = 500, windows: int = 4) -> ByteCnn | Non
     return train(texts, labels) if labels else None
 
 
-def predict(docs: DataFrame, net: ByteCnn | None, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """Add lang_col and score_col (0 to 1) from the whole text.
+def predict(docs: DataFrame, net: ByteCnn | None, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", surest: bool = False) -> DataFrame:
+    """Add lang_col and score_col (0 to 1) from the whole text; with `surest`, the score is that of its surest window.
 
     Null text and text without a letter give `und` and score 0; so does every text when there is no model.
     Other columns and repeated rows stay; columns that already have these two names are replaced.
@@ -195,7 +196,7 @@ def predict(docs: DataFrame, net: ByteCnn | None, text_col: str = "text", lang_c
                 langs, scores = [UNDETERMINED] * len(lettered), [0.0] * len(lettered)
                 if rows:
                     data = utf8_rows(texts)
-                    for i, lang, score in zip(rows, *net.predict([data[i] for i in rows]), strict=True):
+                    for i, lang, score in zip(rows, *net.predict([data[i] for i in rows], surest=surest), strict=True):
                         langs[i], scores[i] = net.langs[lang], score
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, text_col, lang_col, score_col])
 

@@ -359,6 +359,27 @@ def test_every_stage_takes_odd_tables(spark, docs, none, tmp_path):
         assert rows.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and (rows.count() > 0) == (table is docs)
 
 
+def test_the_language_stage_keeps_clean_texts(spark, monkeypatch):
+    plain = spark.createDataFrame([(1, "clean text", None), (2, "12 34", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, plain, "").collect()] == [1]
+
+    class Even(langid.ByteCnn):
+        """Sure of each window (its first letter is the language), so the mean over many languages is even."""
+
+        def __init__(self):
+            self.langs = list("abcdefgh")
+
+        def probabilities(self, codes):
+            import numpy as np
+
+            return 0.99 * np.eye(8)[codes[:, 0] % 8] + 0.01 / 8
+
+    monkeypatch.setattr(langid, "fit", lambda docs: Even())
+    mixed = spark.createDataFrame([(1, "".join(x * langid.WINDOW for x in "abcdefgh"), None)], plain.schema)
+    assert langid.predict(mixed, Even()).first()["score"] < corpus_pipeline.LEAST_SCORE
+    assert corpus_pipeline.language(spark, mixed, "").count() == 1
+
+
 def test_pipeline_stages_decide_as_their_operators(spark, docs):
     kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
     assert kept.isdisjoint({0, 1, 2, 3}) and {6, 9, 11, None} <= kept

@@ -380,6 +380,42 @@ def test_the_language_stage_keeps_clean_texts(spark, monkeypatch):
     assert corpus_pipeline.language(spark, mixed, "").count() == 1
 
 
+def test_the_whole_pipeline_equals_a_pass_by_hand(spark, tmp_path):
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.tokenizer_file())
+    key = "ghp_" + "aB3dE6gH9jK2mN5pQ8sT1vW4yZ7bC0eF3hJ6"
+    texts = {i: " ".join(words(100 + i, 30 + 7 * i)) for i in range(24)}
+    texts |= {30: texts[20] + " more", 31: texts[21], 32: "12345 ... 678", 33: "", 34: None, 35: f"der weg zu https://{key}@github.com und nicht weiter", 36: "token: abcdefghijklmnop " + " ".join(words(999, 40))}
+    rows = [(i, t, "en" if i % 2 else "de", f"s{i % 3}", None if t is None else len(t)) for i, t in texts.items()]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    lettered = [r for r in rows if re.search("[a-z]", r[1] or "")]  # two languages: the surest window has 0.5 at least
+    group, _ = brute_groups([(r[0], r[1]) for r in lettered], 5, 80)
+    first = [r for r in lettered if group[r[0]] == r[0]]
+    assert {r[0] for r in lettered} - {r[0] for r in first} == {30, 31}
+    formats = secrets.learned_formats()
+    clean = {i: (secrets.mask_spans(t, secrets.find_spans(t, formats)[1], "[SECRET]"), s) for i, t, _, s, _ in first}
+    assert clean[35][0] == "der weg zu https://[SECRET]@github.com und nicht weiter" and clean[36][0].startswith("[SECRET] ")
+    sizes, largest, mixed = Counter(), Counter(), Counter()
+    for text, s in clean.values():
+        sizes[s] += n_words(text)
+        largest[s] = max(largest[s], n_words(text))
+    uses = Counter(r["doc_id"] for r in out)
+    for i, (text, s) in clean.items():
+        mixed[s] += uses[i] * n_words(text)
+    order = sorted(sizes)
+    for s, target in zip(order, mixing.fill_targets([sizes[s] for s in order], [5, 2, 1])):
+        full = int(min(3, target // sizes[s]))
+        assert abs(mixed[s] - target) <= largest[s] / 2 + 1
+        assert all(uses[i] in (full, full + 1) for i, (_, source) in clean.items() if source == s)
+    assert set(uses) <= set(clean)
+    for r in out:
+        ids = library.encode(clean[r["doc_id"]][0], add_special_tokens=False).ids
+        decoded = hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), bpe.digest(ids), decoded)
+
+
 def test_pipeline_stages_decide_as_their_operators(spark, docs):
     kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
     assert kept.isdisjoint({0, 1, 2, 3}) and {6, 9, 11, None} <= kept

@@ -10,36 +10,45 @@ merge order:
 
 Whether an arc exists depends on the last token and the next one only, so the token is the state. Arcs are
 kept in inherited form: a gadget stores its two parents and the arc it removed; `arc` unwinds gadgets from
-the newest to the oldest and memoises the answer, which fills the transition table as it is used. A gadget
-whose arc u -> v is already gone is dead and adds nothing.
+the newest to the oldest and memoises the answer. A gadget whose arc u -> v is already gone is dead and adds nothing.
 
-Every byte string spells exactly one accepted path, so a word is encoded by walking the table, longest arc
-first, with a memo of positions that lead nowhere. Decoding emits the arc labels (token bytes).
+For reading bytes it is made deterministic: a byte state is the token that ends here and the set of arcs that are
+half spelled, as (state they left, node of the label tree). Every byte string spells exactly one accepted path, so
+at each byte exactly one arc ends. The table of (byte state, byte) to byte state is compiled as it is first used and
+starts anew beyond MOST_STATES states. Words are encoded many at a time, by one table step per byte; then the tokens
+that end are emitted from the last byte backwards. Decoding emits the arc labels (token bytes).
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._shared import in_small_batches
+from lexloom.llm._shared import in_small_batches, slices
 
 #: Fixed value: the published byte-level pre-split pattern.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Pieces of text, first pieces of lines (and odd words), and arcs kept per worker before their cache starts anew.
-CACHED_WORDS, CACHED_FIRST, CACHED_ARCS = 600_000, 100_000, 300_000
+#: Pieces of text, and first pieces of lines (and odd words), after which a worker starts their cache anew.
+CACHED_WORDS, CACHED_FIRST = 300_000, 50_000
+#: Byte states and arc answers after which a worker compiles anew.
+MOST_STATES, MOST_ARCS = 300_000, 300_000
+#: Longer words (in bytes) are encoded one by one; the others in chunks of CHUNK.
+LONG_WORD, CHUNK = 64, 1 << 14
+#: Text of about this size is worked on at a time.
+SLICE_BYTES = 4 << 20
 _NEVER = 1 << 60
+#: Bits of a label tree's node in a half-spelled arc.
+_NODE_BITS = 24
 
 
 def byte_letters() -> dict[str, int]:
@@ -49,6 +58,46 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _StepTable:
+    """Byte state << 8 | byte -> byte state, as arrays with open addressing, so that many steps are looked up at once."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.used = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The value of every key, or -1."""
+        at = self._places(keys)
+        seen = self.keys[at]
+        out = np.where(seen == keys, self.values[at], -1).astype(np.int64)
+        rows = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(rows):
+            at[rows] = (at[rows] + 1) & ((1 << self.bits) - 1)
+            seen = self.keys[at[rows]]
+            hit = seen == keys[rows]
+            out[rows[hit]] = self.values[at[rows[hit]]]
+            rows = rows[~hit & (seen >= 0)]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct new keys."""
+        if 2 * (self.used + len(keys)) > 1 << self.bits:
+            old, kept = self.keys[self.keys >= 0], self.values[self.keys >= 0]
+            self.__init__(max(self.bits + 1, int(4 * (self.used + len(keys))).bit_length()))
+            self.add(old, kept)
+        self.used += len(keys)
+        at = self._places(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]  # of keys at one free place, one stays
+            put = free & (self.keys[at] == keys)
+            self.values[at[put]] = values[put]
+            keys, values, at = keys[~put], values[~put], (at[~put] + 1) & ((1 << self.bits) - 1)
+
+
 class TokenAutomaton:
     def __init__(self, definition: dict):
         model = definition["model"]
@@ -65,15 +114,36 @@ class TokenAutomaton:
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.specials, key=len, reverse=True)) + ")") if self.specials else None
         self.born, self.left, self.right = [0] * size, [-1] * size, [-1] * size
         self.removed: dict[tuple[int, int], int] = {}
-        self.table: dict[int, bool] = {}
+        self.known_arcs: dict[int, bool] = {}
         self.arcs = {self.labels[vocab[c]]: vocab[c] for c in letters if c in vocab}
         for rank, pair in enumerate(model["merges"], 1):
             self._add_gadget(rank, *(pair if isinstance(pair, list) else pair.split(" ")), vocab)
-        #: Length of the longest arc label by its first four bytes; other labels have three bytes at most.
-        self.reach: dict[bytes, int] = {}
-        for label in self.arcs:
-            if len(label) > 3:
-                self.reach[label[:4]] = max(len(label), self.reach.get(label[:4], 0))
+        self.label_sizes = np.array([len(x) for x in self.labels], np.int64)
+        self._plant()
+        self._restart()
+
+    def _plant(self) -> None:
+        """The tree of arc labels: child[node << 8 | byte], the token that a node spells (or -1), whether labels go on."""
+        self.child: dict[int, int] = {}
+        self.spells, self.goes_on = [-1], [True]
+        for label, token in self.arcs.items():
+            node = 0
+            for byte in label:
+                self.goes_on[node] = True
+                following = self.child.get(node << 8 | byte)
+                if following is None:
+                    following = self.child[node << 8 | byte] = len(self.spells)
+                    self.spells.append(-1)
+                    self.goes_on.append(False)
+                node = following
+            self.spells[node] = token
+
+    def _restart(self) -> None:
+        """An empty byte table: state 0 is before the first byte, where every token may begin."""
+        self.table = _StepTable()
+        self.half: list[tuple[int, ...]] = [(0,)]  # (1 + state left) << _NODE_BITS | node of each half-spelled arc
+        self.numbers: dict[tuple[int, ...], int] = {}
+        self.ends = np.full(1 << 12, -1, np.int32)  # the token that ends at a byte state
 
     def _add_gadget(self, rank: int, u: str, v: str, vocab: dict[str, int]) -> None:
         a, b, w = vocab[u], vocab[v], vocab[u + v]
@@ -102,82 +172,163 @@ class TokenAutomaton:
 
     def arc(self, x: int, y: int) -> bool:
         key = x << 20 | y
-        known = self.table.get(key)
+        known = self.known_arcs.get(key)
         if known is None:
-            if len(self.table) >= CACHED_ARCS:
-                self.table.clear()
-            known = self.table[key] = self._unwind(x, y)
+            if len(self.known_arcs) >= MOST_ARCS:
+                self.known_arcs.clear()
+            known = self.known_arcs[key] = self._unwind(x, y)
         return known
 
-    def encode_word(self, word: bytes) -> tuple[int, ...]:
-        arcs, reach, table, n = self.arcs, self.reach, self.table, len(word)
-        if (whole := arcs.get(word)) is not None:
-            return (whole,)
-        path: list[int] = []
-        dead: set[int] = set()
-        at, most, last = 0, n, -1
-        while at < n:
-            for size in range(min(most, n - at, reach.get(word[at : at + 4], 3)), 0, -1):
-                token = arcs.get(word[at : at + size])
-                if token is None or at + size in dead:
-                    continue
-                if last < 0 or (ok := table.get(last << 20 | token)) or (ok is None and self.arc(last, token)):
-                    path.append(token)
-                    at, most, last = at + size, n, token
-                    break
-            else:
-                if not path:
-                    raise ValueError("a byte of the text is not in the vocabulary")
-                dead.add(at)
-                size = len(self.labels[path.pop()])
-                at, most, last = at - size, size - 1, path[-1] if path else -1
-        return tuple(path)
+    def _compile(self, state: int, byte: int) -> int:
+        """Add the table's entry for a byte state and a byte."""
+        going, ended = [], -1
+        for half in self.half[state]:
+            node = self.child.get((half & (1 << _NODE_BITS) - 1) << 8 | byte)
+            if node is None:
+                continue
+            left, token = half >> _NODE_BITS, self.spells[node]
+            if ended < 0 and token >= 0 and (not left or self.arc(left - 1, token)):
+                ended = token
+            if self.goes_on[node]:
+                going.append(left << _NODE_BITS | node)
+        if ended < 0:
+            raise ValueError("a byte of the text is not in the vocabulary")
+        going.append(ended + 1 << _NODE_BITS)
+        going.append(ended + 1 << _NODE_BITS)
+        key = tuple(going)  # its last member names the token that ends here
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.half)
+            self.half.append(key)
+            if number >= len(self.ends):
+                self.ends = np.concatenate([self.ends, np.full(len(self.ends), -1, np.int32)])
+            self.ends[number] = ended
+        return number
+
+    def encode_words(self, words: list[bytes], kind: type = np.uint32) -> list[bytes]:
+        """The ids of every word, packed as integers of this kind."""
+        size = np.array([len(w) for w in words], np.int64)
+        order = np.argsort(size, kind="stable")
+        out = [b""] * len(words)
+        short = int(np.searchsorted(size[order], LONG_WORD, "right"))
+        for start in range(0, short, CHUNK):
+            rows = order[start : min(start + CHUNK, short)]
+            for row, ids in zip(rows.tolist(), self._encode_chunk([words[i] for i in rows], size[rows], kind), strict=True):
+                out[row] = ids
+        for row in order[short:].tolist():
+            out[row] = self.encode_long(words[row]).astype(kind).tobytes()
+        return out
+
+    def _encode_chunk(self, words: list[bytes], size: np.ndarray, kind: type) -> list[bytes]:
+        """Words in order of their size: all take their table step for one place at a time."""
+        if len(self.half) > MOST_STATES:
+            self._restart()
+        n, longest = len(words), int(size[-1])
+        data = np.frombuffer(b"".join(words), np.uint8)
+        begins = np.cumsum(size) - size
+        state, ending = np.zeros(n, np.int64), np.full((n, longest), -1, np.int32)
+        for place in range(longest):
+            first = int(np.searchsorted(size, place, "right"))
+            steps = state[first:] << 8 | data[begins[first:] + place]
+            following = self.table.find(steps)
+            new = following < 0
+            if new.any():
+                wanted = np.unique(steps[new])
+                self.table.add(wanted, np.array([self._compile(x >> 8, x & 255) for x in wanted.tolist()], np.int64))
+                following[new] = self.table.find(steps[new])
+            state[first:] = following
+            ending[first:, place] = self.ends[following]
+        rows, at, columns = np.flatnonzero(size > 0), size.copy(), []
+        while len(rows):
+            tokens = ending[rows, at[rows] - 1]
+            column = np.full(n, -1, np.int32)
+            column[rows] = tokens
+            columns.append(column)
+            at[rows] -= self.label_sizes[tokens]
+            rows = rows[at[rows] > 0]
+        if not columns:
+            return [b""] * n
+        path = np.stack(columns[::-1], axis=1)
+        packed = path[path >= 0].astype(kind)
+        ends = np.cumsum((path >= 0).sum(axis=1) * packed.itemsize).tolist()
+        data = packed.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode_long(self, word: bytes) -> np.ndarray:
+        """One word, by a table of its own."""
+        if len(self.half) > MOST_STATES:
+            self._restart()
+        table: dict[int, int] = {}
+        state, ending = 0, []
+        for byte in word:
+            step = state << 8 | byte
+            following = table.get(step)
+            if following is None:
+                following = table[step] = self._compile(state, byte)
+            state = following
+            ending.append(state)
+        tokens = self.ends[ending]
+        path, at = [], len(word)
+        while at > 0:
+            path.append(tokens[at - 1])
+            at -= self.label_sizes[path[-1]]
+        return np.array(path[::-1], np.int32)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
-class _Words(dict):
-    """Piece of text -> its token ids, packed. A piece that starts or ends with white space, or is empty, gives None."""
-
-    def __init__(self, encoder: Encoder, prefix: str, most: int):
-        self.encoder, self.prefix, self.most = encoder, prefix, most
-
-    def __missing__(self, piece: str):
-        if len(self) >= self.most:
-            self.clear()
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            ids = None
-        else:
-            ids = self.encoder.pack(chain.from_iterable(self.encoder.automaton.encode_word(w.encode()) for w in SPLIT.findall(self.prefix + piece)))
-        self[piece] = ids
-        return ids
-
-
 class Encoder:
     """Whole texts to ids. Pieces between single blanks and line ends never share a token with their
     neighbours, so they are split off and looked up; a text with any other white space at a piece's edge is
-    split by the full pattern. Ids are packed as unsigned integers of two bytes (four for larger vocabularies)."""
+    split by the full pattern. What the pieces of some texts do not know yet is encoded together. Ids are packed
+    as unsigned integers of two bytes (four for larger vocabularies)."""
 
     def __init__(self, automaton: TokenAutomaton):
         self.automaton = automaton
-        self.kind = "H" if len(automaton.labels) <= 1 << 16 else "I"
-        self.first, self.later, self.words = _Words(self, "", CACHED_FIRST), _Words(self, " ", CACHED_WORDS), {}
-        self.line_end = self.pack(automaton.encode_word(b"\n"))
-
-    def pack(self, ids: Iterable[int]) -> bytes:
-        return array(self.kind, ids).tobytes()
-
-    def _by_pattern(self, text: str) -> list[bytes]:
-        out: list[bytes] = []
-        for w in SPLIT.findall(text):
-            ids = self.words.get(w)
-            if ids is None:
-                if len(self.words) >= CACHED_FIRST:
-                    self.words.clear()
-                ids = self.words[w] = self.pack(self.automaton.encode_word(w.encode()))
-            out.append(ids)
-        return out
+        self.kind = np.uint16 if len(automaton.labels) <= 1 << 16 else np.uint32
+        # piece -> packed ids; None for a piece that starts or ends with white space, or is empty
+        self.first: dict[str, bytes | None] = {}
+        self.later: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
+        self.line_end = self._pack(["\n"])[0]
+
+    def _pack(self, words: list[str]) -> list[bytes]:
+        return self.automaton.encode_words([w.encode() for w in words], self.kind)
+
+    def _learn(self, texts: list[str]) -> None:
+        """Encode the pieces of these texts that are not known yet."""
+        for known, most in ((self.first, CACHED_FIRST), (self.later, CACHED_WORDS), (self.words, CACHED_FIRST)):
+            if len(known) > most:
+                known.clear()
+        first: set[str] = set()
+        later: set[str] = set()
+        for text in texts:
+            for line in text.split("\n"):
+                head, *rest = line.split(" ")
+                first.add(head)
+                later.update(rest)
+        for known, prefix, pieces in ((self.first, "", first), (self.later, " ", later)):
+            plain, mixed = [], []
+            for piece in pieces:
+                if piece in known:
+                    continue
+                if piece.isalpha():  # one word of the pattern: letters only
+                    plain.append(piece)
+                elif not piece or piece[0].isspace() or piece[-1].isspace():
+                    known[piece] = None
+                else:
+                    mixed.append((piece, SPLIT.findall(prefix + piece)))
+            known.update(zip(plain, self._pack([prefix + p for p in plain]), strict=True))
+            parts = list({w for _, words in mixed for w in words})
+            packed = dict(zip(parts, self._pack(parts), strict=True))
+            known.update((piece, b"".join(packed[w] for w in words)) for piece, words in mixed)
+
+    def _by_pattern(self, text: str) -> bytes:
+        words = SPLIT.findall(text)
+        new = list({w for w in words if w not in self.words})
+        self.words.update(zip(new, self._pack(new), strict=True))
+        return b"".join(map(self.words.__getitem__, words))
 
     def _plain(self, text: str) -> bytes:
         if not text:
@@ -190,22 +341,26 @@ class Encoder:
                 lines.append(first[head] + b"".join(map(later, rest)))
             return self.line_end.join(lines)
         except TypeError:  # a None among the pieces
-            return b"".join(self._by_pattern(text))
+            return self._by_pattern(text)
 
-    def ids(self, text: str) -> np.ndarray:
+    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
         auto = self.automaton
-        if auto.special_split is None or not any(s in text for s in auto.specials):
-            packed = self._plain(text)
-        else:
-            packed = b"".join(self.pack([auto.specials[part]]) if part in auto.specials else self._plain(part) for part in auto.special_split.split(text))
-        return np.frombuffer(packed, self.kind)
+        special = auto.special_split
+        # plain text at even places, special tokens between
+        parts = [special.split(t) if special and any(s in t for s in auto.specials) else [t] for t in texts]
+        self._learn([p for each in parts for p in each[::2]])
+        token = lambda p: self.kind(auto.specials[p]).tobytes()
+        return [np.frombuffer(b"".join(token(p) if i % 2 else self._plain(p) for i, p in enumerate(each)), self.kind) for each in parts]
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.encode_texts([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return self.ids(text).tolist()
 
     def forget(self) -> None:
-        """Drop what was looked up, so that a worker that goes on with other work holds the automaton only."""
-        for known in (self.first, self.later, self.words, self.automaton.table):
+        """Drop the pieces that were looked up, so that a worker that goes on with other work holds the automaton only."""
+        for known in (self.first, self.later, self.words):
             known.clear()
 
 
@@ -232,12 +387,10 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                ids, offsets = [], [0]
-                for text in part.column(len(kept)).to_pylist():
-                    ids.append(encoder.ids(text or ""))
-                    offsets.append(offsets[-1] + len(ids[-1]))
+            for start, stop in slices(pc.fill_null(pc.binary_length(batch.column(len(kept))), 0).to_pylist(), SLICE_BYTES):
+                part = batch.slice(start, stop - start)
+                ids = encoder.encode_texts([t or "" for t in part.column(len(kept)).to_pylist()])
+                offsets = np.cumsum([0] + [len(x) for x in ids])
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], names=[*kept, ids_col])
         encoder.forget()
@@ -257,8 +410,8 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _encoder(model.value).automaton
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start, stop in slices(pc.fill_null(pc.list_value_length(batch.column(len(kept))), 0).to_pylist(), SLICE_BYTES // 4):
+                part = batch.slice(start, stop - start)
                 texts = [automaton.decode(x.values.tolist() if x.values is not None else []) for x in part.column(len(kept))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*kept, text_col])
 

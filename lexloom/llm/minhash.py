@@ -1,9 +1,11 @@
 """Near-duplicate groups by HyperMinHash, exact on full shingle sets.
 
-1. A task hashes the words and shingles of whole texts in numpy. The signature has one register per hash
-   function: of the minimum's bits only the count of leading zeros and the next MANTISSA bits are stored.
-2. Texts with equal word sequences are one representative from here on (smallest doc_id).
-3. Bands of ROWS registers put representatives into buckets. In a bucket, pairs whose collision-corrected
+1. A task hashes the words and shingles of whole texts in numpy. The first bits of a shingle's one hash choose a
+   register, and of the smallest rest in a register only the count of leading zeros and the next MANTISSA bits are
+   stored. A register that no shingle falls into copies another one, the first filled one in its own fixed random
+   order, so short texts fill all registers and equal registers still tell of the Jaccard similarity.
+2. Texts with equal word sequences are one node from here on.
+3. Bands of ROWS registers put nodes into buckets. In a bucket, pairs whose collision-corrected
    Jaccard estimate is at least the wanted similarity less SLACK (over five standard errors) are joined; a bucket of more than
    HOT members is joined as a whole, which only makes more work for step 5. Each bucket gives at most one
    link per member, never its pairs.
@@ -25,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._shared import durable, in_small_batches, slices, utf8_rows
+from lexloom.llm._shared import durable, slices, utf8_rows
 from lexloom.llm.components import components
 
 BANDS, ROWS, MANTISSA = 32, 4, 10
-REGISTERS = BANDS * ROWS
-SLACK = 0.18
+#: Registers of a signature, a power of two; the bands use the first BANDS * ROWS, the estimate all.
+REGISTERS = 256
+SLACK = 0.13
 HOT = 512
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 21
 #: Tables of ids up to this many rows may be broadcast; larger ones are joined by a shuffle.
@@ -38,8 +41,10 @@ BROADCAST_ROWS = 100_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(2024)
-_MULTIPLY = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
-_ADD = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
+#: Register r, left empty, copies the first filled one of _DONORS[r].
+_DONORS = _RNG.permuted(np.tile(np.arange(REGISTERS), (REGISTERS, 1)), axis=1)
+_REST = 64 - REGISTERS.bit_length() + 1
+_FIRSTS = np.arange(REGISTERS, dtype=np.uint64) << np.uint64(_REST)
 _BASE, _CHAIN, _SEQ1, _SEQ2 = (int(x) | 1 for x in _RNG.integers(1 << 60, 1 << 63, 4))
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -127,14 +132,25 @@ def sequence_hashes(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
-    """The HyperMinHash registers of a set: leading zeros of each minimum, then its next MANTISSA bits."""
-    low = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
-    short = (shingles >> _U(32)).astype(np.uint32)
-    for i in range(0, len(short), 1024):
-        low = np.minimum(low, (short[i : i + 1024, None] * _MULTIPLY + _ADD).min(axis=0))
-    fraction, exponent = np.frexp(low.astype(np.float64))
-    mantissa = np.where(low > 0, (fraction - 0.5) * (2 << MANTISSA), 0).astype(np.uint16)
-    return ((32 - exponent).astype(np.uint16) << MANTISSA) | mantissa
+    """The HyperMinHash registers of a set (sorted hashes): leading zeros of each register's minimum, then its next MANTISSA bits."""
+    if not len(shingles):
+        return np.zeros(REGISTERS, np.uint16)
+    at = np.searchsorted(shingles, _FIRSTS)  # a register's minimum is the first hash at or after its first value
+    low = shingles[np.minimum(at, len(shingles) - 1)]
+    filled = (at < len(shingles)) & (low >> _U(_REST) == np.arange(REGISTERS, dtype=_U))
+    rest = np.flatnonzero(~filled)
+    for start in range(0, REGISTERS, 16):
+        if not len(rest):
+            break
+        donors = _DONORS[rest, start : start + 16]
+        given = filled[donors]
+        some = given.any(axis=1)
+        low[rest[some]] = low[donors[some, given[some].argmax(axis=1)]]
+        rest = rest[~some]
+    # 53 of the remaining bits are exact in a float
+    fraction, exponent = np.frexp(((low & _U((1 << _REST) - 1)) >> _U(_REST - 53)).astype(np.float64))
+    mantissa = np.where(exponent > 0, (fraction - 0.5) * (2 << MANTISSA), 0).astype(np.uint16)
+    return ((53 - exponent).astype(np.uint16) << MANTISSA) | mantissa
 
 
 def jaccard_estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -147,6 +163,8 @@ def jaccard_estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndar
 
 
 SIGNATURE = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("seq1", T.LongType()), T.StructField("seq2", T.LongType()), T.StructField("registers", T.BinaryType())])
+#: Text of about this size is hashed at a time.
+SLICE_BYTES = 1 << 20
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -155,14 +173,14 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8_rows(batch.column(1))
-            for start, stop in slices([len(t) + 64 for t in texts], 1 << 20):
+            for start, stop in slices([len(t) + 64 for t in texts], SLICE_BYTES):
                 words, at = word_hashes(texts[start:stop])
                 sets = shingle_sets(words, at, k)
                 seq1, seq2 = sequence_hashes(words, at)
                 sketch = [registers(s).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(seq1), pa.array(seq2), pa.array(sketch, pa.binary())], names=SIGNATURE.names)
 
-    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, SIGNATURE)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNATURE)
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -186,15 +204,15 @@ def _links(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def candidate_links(reps: DataFrame, percent: int) -> DataFrame:
-    """Spanning links of the buckets' likely pairs (a, b), from reps(rep, n_shingles, registers)."""
+    """Spanning links of the buckets' likely pairs (a, b), from reps(node, n_shingles, registers)."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    rows = reps.select("rep", F.explode(keys).alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1")
+    rows = reps.select("node", F.explode(keys).alias("band"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     members = durable(rows.join(shared, "band"), "members")
-    hot = members.where((F.col("n") > HOT) & (F.col("rep") != F.col("first"))).select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    buckets = members.where(F.col("n") <= HOT).groupBy("band").agg(F.array_sort(F.collect_list("rep")).alias("reps")).select("reps").distinct()
-    numbered = buckets.select(F.xxhash64("reps").alias("bucket"), F.explode("reps").alias("rep")).distinct()
-    filled = numbered.join(reps, "rep").groupBy("bucket").agg(F.collect_list(F.struct("rep", "n_shingles", "registers")).alias("members"))
+    hot = members.where((F.col("n") > HOT) & (F.col("node") != F.col("first"))).select(F.col("first").alias("a"), F.col("node").alias("b"))
+    buckets = members.where(F.col("n") <= HOT).groupBy("band").agg(F.array_sort(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
+    numbered = buckets.select(F.xxhash64("nodes").alias("bucket"), F.explode("nodes").alias("node")).distinct()
+    filled = numbered.join(reps, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "n_shingles", "registers")).alias("members"))
     least = percent / 100 - SLACK
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,25 +272,34 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tup
         yield held
 
 
-def true_links(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> DataFrame:
-    """Spanning forests of the links inside clusters(rep, cluster, n_shingles), decided on full shingle sets."""
+def true_links(docs: DataFrame, clusters: DataFrame, k: int, percent: int, repeated: bool) -> DataFrame:
+    """Spanning forests of the links inside clusters(node, cluster, rep, seq1, seq2, n_shingles), decided on full shingle sets.
+
+    A node's text is that of document rep with the word sequence seq1, seq2. `repeated` tells that rows may repeat a doc_id.
+    """
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    wanted = durable(clusters.join(sizes, "cluster").select("rep", "cluster", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block")), "clusters")
+    wanted = clusters.join(sizes, "cluster").select("node", "cluster", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), "seq1", "seq2", "rep")
+    wanted = durable(wanted, "clusters")
     joined = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(joined, "rep")
-    schema = T.StructType([T.StructField("cluster", T.LongType()), T.StructField("blocks", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("rep", T.LongType()), T.StructField("shingles", T.BinaryType())])
+    own = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = (own.dropDuplicates() if repeated else own).join(joined, "rep")
+    schema = T.StructType([T.StructField("cluster", T.LongType()), T.StructField("blocks", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = utf8_rows(batch.column(4))
-            for start, stop in slices([len(t) + 64 for t in data], 1 << 20):
-                sets = shingle_sets(*word_hashes(data[start:stop]), k)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(start, stop - start) for i in range(4)), pa.array([s.tobytes() for s in sets], pa.binary())], names=schema.names)
+            data = utf8_rows(batch.column(6))
+            for start, stop in slices([len(t) + 64 for t in data], SLICE_BYTES):
+                part = batch.slice(start, stop - start)
+                words, at = word_hashes(data[start:stop])
+                seq1, seq2 = sequence_hashes(words, at)
+                own = pa.array((seq1 == part.column(4).to_numpy()) & (seq2 == part.column(5).to_numpy()))
+                sets = pa.array([s.tobytes() for s in shingle_sets(words, at, k)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], sets], names=schema.names).filter(own)
 
-    sets = in_small_batches(texts.select("cluster", "blocks", "block", "rep", "text")).mapInArrow(to_sets, schema)
+    sets = texts.select("cluster", "blocks", "block", "node", "seq1", "seq2", "text").mapInArrow(to_sets, schema)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = sets.withColumn("other", other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "shingles")
+    paired = sets.withColumn("other", other).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "shingles")
     keys = ["cluster", "i", "j"]
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +319,36 @@ def true_links(docs: DataFrame, clusters: DataFrame, k: int, percent: int) -> Da
         if found:
             yield _links(found)
 
-    return paired.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(decide, LINK)
+    return paired.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(decide, LINK)
+
+
+def _some(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast where they are few."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
+def _text_groups(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(signatures, repeated, groups) of docs(doc_id, text).
+
+    repeated(doc_id, differ) names the ids that several rows have, and whether their word sequences differ; None if
+    there are none. groups(seq1, seq2, first_doc, is_first) has a row per word sequence: the smallest doc_id of the
+    texts that links reach from it, and whether it is the group's first text (by smallest doc_id, then sequence).
+    """
+    sig = durable(signatures(docs, k), "signatures")
+    named = sig.where(F.col("doc_id").isNotNull())
+    sequence = F.struct("seq1", "seq2")
+    repeated = durable(named.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min(sequence) != F.max(sequence)).alias("differ")).where("n > 1").drop("n"), "repeated")
+    any_repeated = not repeated.isEmpty()
+    found = named.where("n_shingles > 0").groupBy("seq1", "seq2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    reps = durable(found.withColumn("node", F.monotonically_increasing_id()), "representatives")
+    clusters = components(candidate_links(reps.select("node", "n_shingles", "registers"), percent)).withColumnRenamed("component", "cluster")
+    keys = reps.select("node", "rep", "seq1", "seq2")
+    sized = clusters.join(reps.drop("registers"), "node")
+    members = components(true_links(docs, sized, k, percent, any_repeated)).join(keys, "node")
+    first = members.groupBy("component").agg(F.min(F.struct("rep", "seq1", "seq2")).alias("first"))
+    grouped = members.join(first, "component").select("seq1", "seq2", F.col("first.rep").alias("first_doc"), (F.struct("rep", "seq1", "seq2") == F.col("first")).alias("is_first"))
+    groups = keys.join(grouped, ["seq1", "seq2"], "left").select("seq1", "seq2", F.coalesce("first_doc", "rep").alias("first_doc"), F.coalesce("is_first", F.lit(True)).alias("is_first"))
+    return sig, repeated if any_repeated else None, groups
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -302,29 +358,57 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     k-word shingles have 100 * intersection >= percent * union; component_id is the smallest doc_id that links
     reach, and kept tells of doc_id = component_id. A text of fewer than k words has itself as its one shingle;
     null texts and texts without words have none and are linked with nothing. Rows that repeat a doc_id are
-    one document with all their texts. A null doc_id is linked with nothing: component_id null, kept.
+    one document with all their texts: it is linked with what any of them is linked with, and its rows have one
+    component_id. A null doc_id is linked with nothing: component_id null, kept.
     """
-    sig = durable(signatures(docs, k), "signatures")
-    some = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    reps = durable(some.groupBy("seq1", "seq2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "representatives")
-    clusters = components(candidate_links(reps.select("rep", "n_shingles", "registers"), percent)).withColumnsRenamed({"node": "rep", "component": "cluster"})
-    sized = clusters.join(reps.select("rep", "n_shingles"), "rep")
-    groups = components(true_links(docs, sized, k, percent)).withColumnRenamed("node", "rep")
-    named = reps.join(groups, "rep", "left").select("seq1", "seq2", F.coalesce("component", "rep").alias("component"))
-    joined = sig.select("doc_id", "n_shingles", "seq1", "seq2").join(named, ["seq1", "seq2"], "left")
-    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    component = F.when(linked, F.col("component")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    sig, repeated, groups = _text_groups(docs, k, percent)
+    rows = sig.select("doc_id", "n_shingles", "seq1", "seq2").join(groups, ["seq1", "seq2"], "left")
+    key = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("first_doc")).otherwise(F.col("doc_id"))
+    rows = rows.select("doc_id", "n_shingles", key.alias("component_id"))
+    if repeated is not None:
+        several = _some(repeated.where("differ").select("doc_id"))
+        joins = components(rows.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+        joins = _some(joins.select(F.col("node").alias("component_id"), "component"))
+        rows = rows.join(joins, "component_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _sequences(docs: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """docs, all columns, with the 128 bits of the text's word sequence under these names."""
+    at_text = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = utf8_rows(batch.column(at_text))
+            for start, stop in slices([len(t) + 64 for t in data], SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([*batch.slice(start, stop - start).columns, *map(pa.array, sequence_hashes(*word_hashes(data[start:stop])))], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that near_duplicates does not keep; of rows that repeat a doc_id one stays. All columns stay."""
-    found = durable(near_duplicates(docs, k, percent).select("doc_id", "kept"), "kept")
-    dropped = found.where("NOT kept").select("doc_id").distinct()
-    dropped = F.broadcast(dropped) if dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dropped
-    rest = docs.join(dropped, "doc_id", "left_anti")
-    repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return rest.select(*docs.columns)
-    once = rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    """docs with one row of each group of near-duplicate texts: that of the smallest doc_id. All columns stay.
+
+    Rows are dropped, not ids: of a doc_id with several texts each text is judged for itself, so no group of texts
+    is lost. Rows equal in doc_id and word sequence are one (the first by their JSON form stays). Rows without a doc_id
+    all stay; rows without words stay, one for each doc_id.
+    """
+    sig, repeated, groups = _text_groups(docs, k, percent)
+    rows = sig.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "seq1", "seq2").join(groups, ["seq1", "seq2"])
+    later = durable(rows.where(~F.col("is_first") | (F.col("doc_id") != F.col("first_doc"))).select("doc_id", "seq1", "seq2").distinct(), "later")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = later if repeated is None else later.join(_some(repeated.select("doc_id")), "doc_id", "left_anti")
+    dropped = _some(once.select(F.col("doc_id").alias("dropped_doc")))
+    rest = docs.join(dropped, docs["doc_id"].cast("long") == F.col("dropped_doc"), "left_anti")
+    if repeated is None:
+        return rest.select(*columns)
+    ids = repeated.select(F.col("doc_id").alias("repeated_doc"))
+    several = _some(ids)
+    own = _sequences(docs.join(several, docs["doc_id"].cast("long") == F.col("repeated_doc"), "left_semi").select(*columns), ("own_seq1", "own_seq2"))
+    own = own.select(F.col("doc_id").cast("long").alias("own_doc"), "own_seq1", "own_seq2", F.struct(*columns).alias("row"))
+    gone = later.join(_some(repeated.select("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("own_doc"), F.col("seq1").alias("own_seq1"), F.col("seq2").alias("own_seq2"))
+    kept = own.join(gone, ["own_doc", "own_seq1", "own_seq2"], "left_anti")
+    single = kept.groupBy("own_doc", "own_seq1", "own_seq2").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+    rest = rest.join(several, rest["doc_id"].cast("long") == F.col("repeated_doc"), "left_anti")
+    return rest.select(*columns).unionByName(single)

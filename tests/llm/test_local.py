@@ -186,11 +186,25 @@ def test_registers_estimate_similarity():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.8, 0.95):
         common, own = int(1000 * share), int(1000 * (1 - share) / 2)
-        x = rng.integers(0, 1 << 63, common + 2 * own, dtype=np.uint64)
-        a, b = minhash.registers(x[: common + own]), minhash.registers(np.concatenate([x[:common], x[common + own :]]))
+        x = rng.integers(0, np.iinfo(np.uint64).max, common + 2 * own, dtype=np.uint64)
+        a, b = minhash.registers(np.sort(x[: common + own])), minhash.registers(np.sort(np.concatenate([x[:common], x[common + own :]])))
         assert abs(minhash.jaccard_estimate((a == b).mean(), common + own, common + own) - share) < 0.15
 
 
+def test_registers_of_buckets():
+    """A filled register tells of the smallest hash with its first bits; an empty one copies a filled one."""
+    rng = np.random.default_rng(3)
+    for n in (1, 3, 40, 400, 5000):
+        x = np.sort(rng.integers(0, np.iinfo(np.uint64).max, n, dtype=np.uint64))
+        out, direct = minhash.registers(x), {}
+        for h in x.tolist():
+            rest = format(h & (1 << 56) - 1, "056b")
+            zeros = len(rest) - len(rest.lstrip("0"))
+            direct.setdefault(h >> 56, zeros << 10 | int((rest[zeros + 1 :] + "0" * 10)[:10], 2))
+        assert all(out[r] == v for r, v in direct.items()) and set(out.tolist()) <= set(direct.values())
+    assert len(minhash.registers(np.zeros(0, np.uint64))) == minhash.REGISTERS
+
+
 def test_exact_links_and_forest():
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 60, dtype=np.uint64)

@@ -86,10 +86,32 @@ def test_near_duplicates_equal_all_pairs(spark, docs, none, k):
             assert r["n_shingles"] in {len(s) for s in sets[r["doc_id"]]}
     kept = minhash.keep_first(docs, k, 80)
     assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*(d for d in group if group[d] == d), None])
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*(d for d in group if group[d] == d), None])  # each id has one text here
     assert minhash.near_duplicates(none, k, 80).collect() == [] and minhash.keep_first(none, k).collect() == []
 
 
+def test_several_texts_of_one_document(spark):
+    """One id with two texts joins their groups; keep_first drops rows and loses neither text."""
+    a, b = " ".join(words(3, 40)), " ".join(words(77, 40))
+    table = spark.createDataFrame([(3, a, "x"), (5, a, "x"), (5, b, "x"), (9, b, "x"), (5, "", "x"), (11, None, "x"), (7, a, "y"), (7, a, "x")], "doc_id long, text string, own_doc string")
+    out = minhash.near_duplicates(table, 5, 80).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in out) == Counter([(3, 3), (5, 3), (5, 3), (5, 3), (9, 3), (7, 3), (7, 3), (11, 11)])
+    kept = minhash.keep_first(table.withColumnRenamed("own_doc", "kept"), 5, 80)
+    assert Counter(tuple(r) for r in kept.collect()) == Counter([(3, a, "x"), (5, b, "x"), (5, "", "x"), (11, None, "x")])
+    with_copies = spark.createDataFrame([(1, b, "z"), (1, b, "a"), (1, a, "c"), (None, a, "n")], "doc_id long, text string, source string")
+    assert Counter(tuple(r) for r in minhash.keep_first(with_copies).collect()) == Counter([(1, b, "a"), (1, a, "c"), (None, a, "n")])
+
+
+def test_short_texts_are_found(spark):
+    """Sets of few shingles fill all registers: every pair at 0.8 or more is found."""
+    rows = []
+    for i in range(150):
+        base = words(1000 + i, 9 + i % 9)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base, f"tail{i}"]))]
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert out == brute_groups(rows, 4, 80)[0] and len(set(out.values())) < 290
+
+
 def test_large_clusters_are_cut_into_blocks(spark, monkeypatch):
     """A chain of edits, hot buckets and blocks much smaller than the cluster."""
     monkeypatch.setattr(minhash, "HOT", 8)

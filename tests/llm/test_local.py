@@ -245,6 +245,24 @@ def test_permutations_order_pivots_by_nearness():
     assert (order == np.argsort(-(v @ pivots.T), axis=1)).all()
 
 
+def test_footrules_up_to_a_constant():
+    rng = np.random.default_rng(4)
+    m, length = 40, 12
+    orders = np.stack([rng.permutation(m)[:length] for _ in range(30)]).astype(np.int16)
+    all_places = np.stack([permutation_index.places(o, m) for o in orders]).astype(int)
+    got = permutation_index.footrules(permutation_index.places(orders[0], m), orders)
+    direct = np.abs(all_places - all_places[0]).sum(axis=1)
+    assert len(set((got - direct).tolist())) == 1 and direct[0] == 0
+
+
+def test_fitted_index_is_bounded():
+    rng = np.random.default_rng(6)
+    for n, dims in ((1, 3), (7, 2), (300, 8), (3000, 16)):
+        fitted = permutation_index.fit(rng.normal(size=(n, dims)), n, 5)
+        assert 1 <= fitted.probes <= len(fitted.pivots) <= max(n, 1) and 0 < fitted.share <= 1 and len(fitted.sample) <= permutation_index.SAMPLE
+    assert permutation_index.n_pivots(10**12) == permutation_index.MOST_PIVOTS
+
+
 def test_base32_groups():
     digest = hashlib.sha1(b"x").hexdigest()
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"

@@ -350,22 +350,50 @@ def test_nearest_neighbours_equal_brute_force_on_small_sets(spark):
     assert permutation_index.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).collect() == []
 
 
-def test_recall_of_the_index(spark):
-    """Against brute force on a driver table."""
-    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    got = {(r["query_id"], r["vec_id"]) for r in permutation_index.search(vectors).collect()}
+def recall(vectors, found, every):
+    """Share of the true five nearest of the rows whose id is divisible by `every`, by brute force."""
     import numpy as np
 
     table = vectors.orderBy("vec_id").toPandas()
     x = np.stack(table["embedding"].to_numpy()).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    ids = table["vec_id"].to_numpy()
-    want = set()
-    for i in np.flatnonzero(ids % 50 == 0):
+    ids, want = table["vec_id"].to_numpy(), set()
+    for i in np.flatnonzero(ids % every == 0):
         s = x @ x[i]
         s[i] = -9
         want |= {(int(ids[i]), int(ids[j])) for j in np.argsort(-s)[:5]}
-    assert len(got & want) / len(want) >= 0.9
+    return len({(r["query_id"], r["vec_id"]) for r in found} & want) / len(want)
+
+
+def test_recall_of_the_index(spark):
+    """On a driver table, with all its queries."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert recall(vectors, permutation_index.search(vectors).collect(), 50) >= 0.9
+
+
+def test_recall_where_footrule_decides(spark, monkeypatch):
+    """On 50,000 vectors without any clusters: the footrule distance leaves less than a tenth to the exact cosine."""
+    fitted = []
+    fit = permutation_index.fit
+    monkeypatch.setattr(permutation_index, "fit", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: (F.xxhash64("id", i) % 1000 + F.xxhash64(i, "id") % 1000 + F.xxhash64("id", i, i) % 1000).cast("float"))
+    vectors = spark.range(50_000).select(F.col("id").alias("vec_id"), drawn.alias("embedding"))
+    found = permutation_index.search(vectors, query_rule="vec_id % 1000 = 0").collect()
+    assert recall(vectors, found, 1000) >= 0.9
+    assert fitted[0].share < 0.1 and fitted[0].probes < len(fitted[0].pivots) / 2
+
+
+def test_equal_vectors_and_queries_that_find_few(spark, monkeypatch):
+    """A third of all rows has one vector; a query whose files hold too little asks all files."""
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else [float(i % 7), float(i % 11) + 1, -float(i % 13)]) for i in range(600)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    usual = permutation_index.search(table).collect()
+    copies = [i for i, _ in rows if i % 3 == 0]
+    assert {r["vec_id"] for r in usual if r["query_id"] == 300} == set([c for c in copies if c != 300][:5])
+    fit = permutation_index.fit
+    monkeypatch.setattr(permutation_index, "fit", lambda *a: fit(*a)._replace(probes=1, share=1e-9))
+    few = permutation_index.search(table, k=150, query_rule="vec_id % 200 = 1").collect()
+    assert Counter(r["query_id"] for r in few) == {1: 150, 201: 150, 401: 150}
 
 
 def test_every_stage_takes_odd_tables(spark, docs, none, tmp_path):

@@ -9,9 +9,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexloom.llm import bpe, langid, minhash, mixing, queries, secrets
-from lexloom.llm._shared import read_table, shared_dir
+from lexloom.llm._shared import fresh, read_table, shared_dir, small_batches
 
 #: Not expressible in SQL (a trained network, a seeded draw, an inferred grammar); tests/llm compares with brute force.
 ORACLE_SQL = None
@@ -28,8 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = langid.fit(docs)
     if net is None:
         return docs.where(docs["text"].rlike(r"\p{L}"))
-    found = langid.predict(docs, net, lang_col="_lang", score_col="_score", surest=True)
-    return found.where(f"_lang <> 'und' AND _score >= {min(LEAST_SCORE, 2 / len(net.langs))}").select(*(f"`{c}`" for c in docs.columns))
+    lang, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "lang_score")
+    found = langid.predict(docs, net, lang_col=lang, score_col=score, surest=True)
+    return found.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= min(LEAST_SCORE, 2 / len(net.langs)))).select(*(f"`{c}`" for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +47,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix to target weights, of whole documents: a document has one row for each time it is used.
 
-    Rows are in the order of their shards, and shuffled inside a shard; a shard may lie in several partitions.
+    Rows are dealt by their shards, and shuffled inside a shard; a shard may lie in several partitions.
     """
-    dealt = mixing.mix(docs, whole=True).repartitionByRange("_shard", "_rank").sortWithinPartitions("_shard", "_rank")
-    return dealt.select(*(f"`{c}`" for c in docs.columns))
+    return mixing.shuffled(docs, whole=True).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +61,7 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secret
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as used by Java and Python patterns alike.
@@ -14,9 +15,11 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a fresh one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, on one machine as in tests) a fresh one."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="lexloom-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -30,16 +33,15 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows in an Arrow batch between Spark and Python: long texts make it heavy, and both sides hold several.
-BATCH_ROWS = 500
+PART_ROWS = 1 << 10
+#: Rows and bytes in an Arrow batch between Spark and Python: both sides hold several.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, in a session whose Arrow batches hold BATCH_ROWS rows at most (unless it was set to fewer)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, BATCH_ROWS)
-    return df
+def small_batches(spark: SparkSession) -> None:
+    """Settings for a session that works on long texts. The queries and the pipeline make them; operators leave settings alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,11 +53,25 @@ def utf8_rows(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def byte_parts(batch: pa.RecordBatch, column: int, budget: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `budget` bytes of this column (texts or binary); one longer value stands alone."""
+    for start, stop in slices(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), budget):
+        yield batch.slice(start, stop - start)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that is not among columns, in any case of letters."""
+    known = {c.lower() for c in columns}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def slices(sizes: list[int], budget: int) -> Iterator[tuple[int, int]]:
-    """Row ranges [start, stop) of about `budget` units each; one larger row stands alone."""
+    """Row ranges [start, stop) of about `budget` units each (and at most PART_ROWS rows); one larger row stands alone."""
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and held + n > budget:
+        if i > start and (held + n > budget or i - start >= PART_ROWS):
             yield start, i
             start, held = i, 0
         held += n

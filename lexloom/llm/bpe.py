@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._shared import in_small_batches, slices
+from lexloom.llm._shared import byte_parts, slices
 
 #: Fixed value: the published byte-level pre-split pattern.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -387,15 +387,14 @@ def encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model.value)
         for batch in batches:
-            for start, stop in slices(pc.fill_null(pc.binary_length(batch.column(len(kept))), 0).to_pylist(), SLICE_BYTES):
-                part = batch.slice(start, stop - start)
+            for part in byte_parts(batch, len(kept), SLICE_BYTES):
                 ids = encoder.encode_texts([t or "" for t in part.column(len(kept)).to_pylist()])
                 offsets = np.cumsum([0] + [len(x) for x in ids])
                 column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], column], names=[*kept, ids_col])
         encoder.forget()
 
-    return in_small_batches(df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`"))).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -415,7 +414,7 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: s
                 texts = [automaton.decode(x.values.tolist() if x.values is not None else []) for x in part.column(len(kept))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*kept, text_col])
 
-    return in_small_batches(df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{ids_col}`"))).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{ids_col}`")).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:

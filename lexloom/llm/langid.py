@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._shared import in_small_batches, slices, utf8_rows
+from lexloom.llm._shared import byte_parts, slices, utf8_rows
 
 WINDOW = 256
 STRIDE = 2
@@ -189,7 +189,7 @@ def predict(docs: DataFrame, net: ByteCnn | None, text_col: str = "text", lang_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
+            for batch in byte_parts(whole, len(kept)):
                 texts = batch.column(len(kept))
                 lettered = [t is not None and net is not None and _LETTER.search(t) is not None for t in texts.to_pylist()]
                 rows = [i for i, x in enumerate(lettered) if x]
@@ -200,4 +200,4 @@ def predict(docs: DataFrame, net: ByteCnn | None, text_col: str = "text", lang_c
                         langs[i], scores[i] = net.langs[lang], score
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, text_col, lang_col, score_col])
 
-    return in_small_batches(docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col]))).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col])).mapInArrow(run, schema)

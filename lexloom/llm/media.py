@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._shared import in_small_batches, utf8_rows
+from lexloom.llm._shared import byte_parts, utf8_rows
 
 BLOCK = 64
+#: Media of about this size make an Arrow batch.
+SLICE_BYTES = 8 << 20
 RATE = 8000
 UNKNOWN = "application/octet-stream"
 # Magic strings, how far they stand from their media's start, and the type.
@@ -191,12 +193,12 @@ def store_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+            for batch in byte_parts(whole, len(kept), SLICE_BYTES):
                 texts = utf8_rows(batch.column(len(kept)))
                 media = [wav(t + bytes(-len(t) % BLOCK if t else BLOCK)) for t in texts]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(len, texts), pa.int64()), pa.array([UNKNOWN] * len(texts), pa.string()), pa.array(media, pa.binary())], names=schema.names)
 
-    return in_small_batches(docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col]))).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col])).mapInArrow(run, schema)
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("type", T.StringType())]))
@@ -239,4 +241,4 @@ def read_media(table: DataFrame, media_col: str = "media") -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=schema.names)
 
-    return in_small_batches(table.select(*(F.col(f"`{c}`") for c in [*kept, media_col]))).mapInArrow(run, schema)
+    return table.select(*(F.col(f"`{c}`") for c in [*kept, media_col])).mapInArrow(run, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._shared import durable, slices, utf8_rows
+from lexloom.llm._shared import durable, fresh, slices, utf8_rows
 from lexloom.llm.components import components
 
 BANDS, ROWS, MANTISSA = 32, 4, 10
@@ -399,16 +399,16 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     later = durable(rows.where(~F.col("is_first") | (F.col("doc_id") != F.col("first_doc"))).select("doc_id", "seq1", "seq2").distinct(), "later")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     once = later if repeated is None else later.join(_some(repeated.select("doc_id")), "doc_id", "left_anti")
-    dropped = _some(once.select(F.col("doc_id").alias("dropped_doc")))
-    rest = docs.join(dropped, docs["doc_id"].cast("long") == F.col("dropped_doc"), "left_anti")
+    key, seq1, seq2 = (fresh(docs.columns, name) for name in ("id", "own_seq1", "own_seq2"))
+    dropped = _some(once.select(F.col("doc_id").alias(key)))
+    rest = docs.join(dropped, docs["doc_id"].cast("long") == F.col(key), "left_anti")
     if repeated is None:
         return rest.select(*columns)
-    ids = repeated.select(F.col("doc_id").alias("repeated_doc"))
-    several = _some(ids)
-    own = _sequences(docs.join(several, docs["doc_id"].cast("long") == F.col("repeated_doc"), "left_semi").select(*columns), ("own_seq1", "own_seq2"))
-    own = own.select(F.col("doc_id").cast("long").alias("own_doc"), "own_seq1", "own_seq2", F.struct(*columns).alias("row"))
+    several = _some(repeated.select(F.col("doc_id").alias(key)))
+    own = _sequences(docs.join(several, docs["doc_id"].cast("long") == F.col(key), "left_semi").select(*columns), (seq1, seq2))
+    own = own.select(F.col("doc_id").cast("long").alias("own_doc"), F.col(seq1).alias("own_seq1"), F.col(seq2).alias("own_seq2"), F.struct(*columns).alias("row"))
     gone = later.join(_some(repeated.select("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("own_doc"), F.col("seq1").alias("own_seq1"), F.col("seq2").alias("own_seq2"))
     kept = own.join(gone, ["own_doc", "own_seq1", "own_seq2"], "left_anti")
     single = kept.groupBy("own_doc", "own_seq1", "own_seq2").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
-    rest = rest.join(several, rest["doc_id"].cast("long") == F.col("repeated_doc"), "left_anti")
+    rest = rest.join(several, rest["doc_id"].cast("long") == F.col(key), "left_anti")
     return rest.select(*columns).unionByName(single)

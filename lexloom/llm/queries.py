@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import bpe, chat, langid, media, minhash, mixing, permutation_index, secrets, sharding, warc
-from lexloom.llm._shared import read_table
+from lexloom.llm._shared import read_table, small_batches
 
 #: Production size of a shard of documents.
 SHARD_BYTES = 4 << 20
@@ -71,7 +73,18 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(read_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_bpe, op3_mixing, op4_language, op5_secrets, op6_warc, op7_near_duplicates, op8_media, op9_chat, op10_nearest)}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _in_small_batches(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _in_small_batches(f) for f in (op1_sharding, op2_bpe, op3_mixing, op4_language, op5_secrets, op6_warc, op7_near_duplicates, op8_media, op9_chat, op10_nearest)}
 
 _SHARDING_SQL = rf"""
 WITH rows AS (

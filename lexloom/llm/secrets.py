@@ -3,8 +3,8 @@
 Grammar inference: the labelled credentials of one format make a prefix tree with counts; walking it in
 red-blue order, a state is merged into an earlier one when a Hoeffding bound cannot tell their symbol and end
 frequencies apart (recursively over the subtrees). The result is a probabilistic automaton per format. Candidates
-are scored by their mean log-likelihood under an automaton; what scores as high as the format's own labelled
-credentials do is a secret of that format. Candidates are whole runs of credential characters and, inside the
+are all scored by their mean log-likelihood under an automaton; what scores as the format's own labelled
+credentials do, neither lower nor higher, is a secret of that format. Candidates are whole runs of credential characters and, inside the
 runs, whatever begins as all labelled credentials of a format do and goes on in their characters.
 
 The first PREFIX characters of a string are symbols of their own (they carry published prefixes); later ones
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._shared import in_small_batches
+from lexloom.llm._shared import byte_parts, fresh
+
 
 # The base rules, in the order in which kinds are listed.
 BASE = (
@@ -96,7 +97,8 @@ class FormatAutomaton:
         total = [self.ends[q] + sum(self.seen[q].values()) for q in range(len(self.next))]
         self.arc_log = [{s: (math.log2(n / total[q]), self.next[q][s]) for s, n in self.seen[q].items()} for q in range(len(self.next))]
         self.end_log = [math.log2(max(self.ends[q] / total[q], FLOOR)) if total[q] else 0.0 for q in range(len(self.next))]
-        self.threshold = min(map(self.score, values)) - 0.1
+        own = [self.score(v) for v in values]
+        self.threshold, self.ceiling = min(own) - 0.1, max(own) + 0.1
         self._keep_reachable()
         self.literal = os.path.commonprefix(values)
         self.lengths = sorted({len(v) for v in values}, reverse=True)
@@ -181,6 +183,13 @@ class FormatAutomaton:
         return (total + self.end_log[state]) / (len(chain) + 1)
 
 
+    def accepts(self, value: str) -> bool:
+        """Does the value begin and score as the labelled credentials do? One that is shorter than all of them needs a digit and a letter too."""
+        if not value.startswith(self.literal) or not self.threshold <= self.score(value) <= self.ceiling:
+            return False
+        return len(value) >= self.lengths[-1] or (any(c in _DIGIT for c in value) and any(c.isalpha() for c in value))
+
+
 @lru_cache(maxsize=4)
 def learned_formats(per_format: int = 150, seed: int = 11) -> dict[str, FormatAutomaton]:
     values: dict[str, list[str]] = {}
@@ -199,17 +208,16 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def format_spans(text: str, formats: dict[str, FormatAutomaton]) -> list[tuple[int, int, str]]:
-    """Candidates that score as their format's labelled credentials do: runs (with a digit and a letter), and places inside runs."""
+    """Candidates that score as their format's labelled credentials do: whole runs, and places inside runs. All are scored."""
     found = []
     for m in CANDIDATE.finditer(text):
         value = m[0]
         whole = []
-        if any(c in _DIGIT for c in value) and any(c.isalpha() for c in value):
-            for start, end in dict.fromkeys([(m.start(), m.end()), _trimmed(m)]):
-                best = max(((a.score(text[start:end]) - a.threshold, name) for name, a in formats.items()), default=(-1.0, ""))
-                if best[0] >= 0:
-                    whole.append((start, end, best[1]))
-                    break
+        for start, end in dict.fromkeys([(m.start(), m.end()), _trimmed(m)]):
+            best = max(((a.score(text[start:end]) - a.threshold, name) for name, a in formats.items() if a.accepts(text[start:end])), default=None)
+            if best:
+                whole.append((start, end, best[1]))
+                break
         inside = [(m.start() + s, m.start() + e, name) for name, a in formats.items() if a.literal in value for s, e in _inside(value, a)]
         found += whole + [x for x in inside if not any(s <= x[0] and x[1] <= e and name == x[2] for s, e, name in whole)]
     return found
@@ -219,19 +227,17 @@ def _inside(value: str, automaton: FormatAutomaton) -> list[tuple[int, int]]:
     """Where credentials of a format stand in a run, whatever is around them.
 
     A credential has the longest labelled length at which no letter or digit follows, else it takes all of its
-    stretch. A stretch shorter than all labelled credentials needs a digit and a letter.
+    stretch.
     """
     found = []
     for m in automaton.stretch.finditer(value):
         start, end = m.span(1)
-        if end - start < automaton.lengths[-1] and not (any(c in _DIGIT for c in m[1]) and any(c.isalpha() for c in m[1])):
-            continue
         ends = [start + n for n in automaton.lengths if start + n < end and not value[start + n].isalnum()]
         if end - start in automaton.lengths:
             ends.insert(0, end)
         else:
             ends.append(end)
-        stop = next((e for e in ends if automaton.score(value[start:e]) >= automaton.threshold), None)
+        stop = next((e for e in ends if automaton.accepts(value[start:e])), None)
         if stop is not None:
             found.append((start, stop))
     return found
@@ -273,7 +279,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_parts(whole, len(kept))):
             base, every = [], []
             for text in batch.column(len(kept)).to_pylist():
                 found, all_spans = find_spans(text or "", formats)
@@ -281,7 +287,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 every.append([{"kind": k, "start": s, "end": e} for s, e, k in all_spans])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, kind_type), pa.array(every, kind_type)], names=[*kept, text_col, "base_spans", "secret_spans"])
 
-    return in_small_batches(docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col]))).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col])).mapInArrow(run, schema)
 
 
 def joined(spans: str):
@@ -305,22 +311,22 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     formats = learned_formats()
     names = docs.columns
     rest = [c for c in names if c not in ("text", "n_chars")]
-    counted = "n_chars" in names
-    schema = T.StructType([docs.schema[c] for c in rest] + [docs.schema["text"]] + [T.StructField("changed", T.BooleanType(), False)])
+    counted, flag = "n_chars" in names, fresh(names, "changed")
+    schema = T.StructType([docs.schema[c] for c in rest] + [docs.schema["text"]] + [T.StructField(flag, T.BooleanType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in byte_parts(whole, len(rest))):
             texts, changed = [], []
             for text in batch.column(len(rest)).to_pylist():
                 spans = find_spans(text or "", formats)[1]
                 changed.append(bool(spans))
                 texts.append(mask_spans(text, spans, mask) if spans else text)
             columns = [*batch.columns[: len(rest)], pa.array(texts, pa.string()), pa.array(changed, pa.bool_()), *batch.columns[len(rest) + 1 :]]
-            yield pa.RecordBatch.from_arrays(columns, names=[*rest, "text", "changed", *["n_chars"] * counted])
+            yield pa.RecordBatch.from_arrays(columns, names=[*rest, "text", flag, *["n_chars"] * counted])
 
     if counted:
         schema = schema.add(docs.schema["n_chars"])
-    out = in_small_batches(docs.select(*(F.col(f"`{c}`") for c in [*rest, "text", *["n_chars"] * counted]))).mapInArrow(run, schema)
+    out = docs.select(*(F.col(f"`{c}`") for c in [*rest, "text", *["n_chars"] * counted])).mapInArrow(run, schema)
     if counted:
-        out = out.withColumn("n_chars", F.when(F.col("changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(flag), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in names))

@@ -229,12 +229,20 @@ def test_targets_fill_up_to_their_limits():
 
 
 def test_the_splitting_tree_deals_out_all_quotas():
-    quotas = np.array([70, 0, 13, 500])
-    for shards in (1, 2, 7, 16):
-        dealt = mixing.split_quotas(quotas, shards)
-        assert (dealt.sum(axis=0) == quotas).all() and dealt.shape == (shards, 4)
-        assert dealt.sum(axis=1).max() - dealt.sum(axis=1).min() <= max(2, shards.bit_length())
-        assert (dealt == mixing.split_quotas(quotas, shards)).all()
+    rng = np.random.default_rng(8)
+    words = [rng.integers(0, 40, n) for n in (70, 0, 13, 500)]
+    words[3][17] = 5000  # one unit larger than a shard
+    for most in (60, 300, 10**6):
+        shards = mixing.deal(words, most)
+        assert [len(x) for x in shards] == [len(x) for x in words]
+        assert all((np.diff(x) >= 0).all() for x in shards)  # each shard draws from the permuted list after those before it
+        every, size = np.concatenate(shards), np.concatenate(words)
+        held, count = np.bincount(every, size), np.bincount(every)
+        assert (count > 0).all() and ((held <= most) | (count == 1)).all()
+        assert most < 10**6 or len(held) == 1
+        assert len(held) <= 5 + 4 * size.sum() / most
+        assert all((x == y).all() for x, y in zip(shards, mixing.deal(words, most)))
+    assert mixing.deal([], 5) == []
 
 
 def test_permutations_order_pivots_by_nearness():

@@ -191,7 +191,7 @@ def test_mixed_rows_hold_the_words_taken(spark, docs):
     want = Counter()
     for r in mixing.taken(docs).collect():
         want[r["doc_id"]] += r["taken"]
-    mixed = mixing.mix(docs).collect()
+    mixed = mixing.mix(docs).select("row.*").collect()
     got = Counter()
     for r in mixed:
         got[r["doc_id"]] += n_words(r["text"])
@@ -220,7 +220,7 @@ def test_whole_mixtures_cut_no_text(spark, docs):
     assert all(abs(got - key[1]) <= size_of[key] / 2 + 1 for key, got in near.items())
     for given in (table, docs):
         texts = {(r["doc_id"], r["text"]) for r in given.collect()}
-        mixed = mixing.mix(given, whole=True).collect()
+        mixed = mixing.mix(given, whole=True).select("row.*").collect()
         assert {(r["doc_id"], r["text"]) for r in mixed} <= texts
         words_of = lambda found: sum(n_words(r["text"]) for r in found)
         assert words_of(mixed) == sum(r["taken"] for r in mixing.taken(given, whole=True).collect())
@@ -228,13 +228,31 @@ def test_whole_mixtures_cut_no_text(spark, docs):
     assert {(r["doc_id"], r["text"]) for r in staged} <= {(r["doc_id"], r["text"]) for r in docs.collect()}
 
 
-def test_the_mixing_stage_keeps_shards_together_and_shuffled(spark, monkeypatch):
-    table = spark.createDataFrame([(i, f"a{i} b c", "xyz"[i % 3]) for i in range(200)], "doc_id long, text string, source string").repartition(3)
-    mix = mixing.mix
-    monkeypatch.setattr(mixing, "mix", lambda docs, whole: mix(docs, 100, whole))
-    dealt = sorted(mix(table, 100, True).collect(), key=lambda r: (r["_shard"], r["_rank"]))
-    assert len({r["_shard"] for r in dealt}) == 6
-    assert [r["doc_id"] for r in corpus_pipeline.mixture(spark, table, "").collect()] == [r["doc_id"] for r in dealt]
+def test_mixed_shards_are_bounded_written_and_shuffled(spark, tmp_path, monkeypatch):
+    rows = [(i, f"a{i} b c d", "xyz"[i % 3], "kept", i) for i in range(4000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, shard string, place long").repartition(3)
+    mixing.write(table, str(tmp_path / "mix"), shard_words=160, whole=True)
+    found = spark.read.parquet(str(tmp_path / "mix"))
+    held = {r["shard"]: r["n"] for r in found.groupBy("shard").agg(F.sum(mixing.n_words(F.col("row.text"))).alias("n")).collect()}
+    assert 100 <= len(held) <= 400 and sum(n > 160 for n in held.values()) <= 2 and sorted(held) == list(range(len(held)))
+    taken = {r["doc_id"]: r["taken"] for r in mixing.taken(table, 160, True).collect()}
+    assert Counter(r["doc_id"] for r in found.select("row.doc_id").collect()) == +Counter({d: n // 4 for d, n in taken.items()})
+    by_source = Counter()
+    for d, n in taken.items():
+        by_source[d % 3] += n
+    # targets by hand: 16,000 words in three equal sources, weights 5, 2, 1
+    assert [by_source[i] for i in range(3)] == pytest.approx([10_000, 4_000, 2_000], abs=4)
+    assert found.select("row.*").columns == table.columns
+    assert all(r["row"]["shard"] == "kept" and r["row"]["place"] == r["row"]["doc_id"] for r in found.collect())
+    # one range of a shard's order in one task, in order
+    dealt = mixing.shuffled(table, 16_000, True).withColumn("task", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).collect()
+    tasks = defaultdict(set)
+    last = {}
+    for r in sorted(dealt, key=lambda r: r["at"]):
+        tasks[r["shard"], r["rank"] >> 59].add(r["task"])
+        assert last.get((r["task"], r["shard"]), r["rank"]) <= r["rank"]
+        last[r["task"], r["shard"]] = r["rank"]
+    assert all(len(t) == 1 for t in tasks.values()) and len(tasks) >= 32
 
 
 def test_language_of_odd_texts(spark, docs, none):
@@ -396,6 +414,23 @@ def test_equal_vectors_and_queries_that_find_few(spark, monkeypatch):
     assert Counter(r["query_id"] for r in few) == {1: 150, 201: 150, 401: 150}
 
 
+CLASHING = "_lang _score lang_pred lang_score _size _source _place _uses _shard _rank shard rank place plan_source row changed kept component_id own_doc dropped_doc repeated_doc own_seq1 words size source_size uses part range".split()
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    """Columns named like any of the operators' own: all values are the same afterwards."""
+    rows = [(i, " ".join(words(i, 40)), "de", "s1", 5, *(f"{c}-{i}" for c in CLASHING)) for i in range(6)]
+    rows += [(0, rows[0][1], "de", "s1", 5, *(f"{c}-0" for c in CLASHING)), (9, "token: abcdefghijklmnop " + rows[5][1] * 2, "de", "s1", 5, *(f"{c}-9" for c in CLASHING))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    table = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, "")
+        assert out.columns == table.columns
+        got = out.collect()
+        assert len(got) >= 6 and all(r[c] == f"{c}-{r['doc_id']}" for r in got for c in CLASHING), name
+    assert corpus_pipeline.tokens(spark, table, "").count() == len(rows)
+
+
 def test_every_stage_takes_odd_tables(spark, docs, none, tmp_path):
     for table in (docs, none):
         rows = table

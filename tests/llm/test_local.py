@@ -142,6 +142,11 @@ def test_pointer_jumping_equals_a_walk():
                 break
             here = nxt
         assert set(at[warc.reachable(at, successor)].tolist()) == chain
+        following = dict(zip(at.tolist(), successor.tolist()))
+        for place, leaves in zip(at.tolist(), warc.exits(at, successor).tolist()):
+            while following.get(following[place], -1) >= 0 and following[place] > place:
+                place = following[place]
+            assert leaves == following[place]
 
 
 def test_media_are_found_by_structure():

@@ -290,7 +290,15 @@ def test_archives_read_back(spark):
     trap = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "http://a/?q=%0A\r\nx", trap * 3), (2, None, None), (3, "u", ""), (4, "u", "é\r\n\r\n"), (5, "u", trap * 3), (5, "u", trap * 3), (6, "u", "x" * 100_000), (7, "u", "WARC/1.0\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
-    out = warc.read(spark, warc.write(pages, records_per_file=3), piece=64).collect()
+    folder = warc.write(pages, records_per_file=3)
+    out = warc.read(spark, folder).collect()
+    known = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 500)  # each archive is read in many ranges
+    try:
+        assert warc._pieces(spark, folder).rdd.getNumPartitions() > 100
+        assert sorted(map(str, warc.read(spark, folder).collect())) == sorted(map(str, out))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", known)
     first = {}
     for page, _, html in rows:
         first.setdefault(html or "", page)
@@ -302,6 +310,27 @@ def test_archives_read_back(spark):
     assert alone.count() == 0
 
 
+def test_broken_and_compressed_archives(spark, tmp_path):
+    """A wrong length ends the chain, and the bytes behind it are reported; other minor versions and gzip are read."""
+    import gzip
+
+    def record(page, payload, length=None):
+        return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{page}>\r\nContent-Length: {len(payload) if length is None else length}\r\n\r\n{payload}\r\n\r\n".encode()
+
+    good = record(1, "a") + record(2, "WARC/1.0\r\nContent-Length: 1\r\n\r\nx\r\n\r\n") + record(3, "")
+    bad = record(1, "a") + record(2, "abc", 5) + record(3, "c")
+    for name, data in (("good", good), ("bad", bad)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc.gz").write_bytes(gzip.compress(data))
+    assert [(r["page_id"], r["payload_bytes"], r["size"]) for r in warc.read(spark, str(tmp_path / "good")).orderBy("at").collect()] == [(1, 1, len(good)), (2, 36, len(good)), (3, 0, len(good))]
+    with pytest.raises(ValueError):
+        warc.read(spark, str(tmp_path / "bad"))
+    found = warc.read(spark, str(tmp_path / "bad"), strict=False).orderBy("at").collect()
+    assert [(r["page_id"], r["intact"]) for r in found] == [(1, True), (2, False)]
+    lost = warc.unreached(warc._chained(spark, str(tmp_path / "bad"))).first()
+    assert 0 < lost["lost_bytes"] <= len(record(3, "c")) and lost["size"] == len(bad)
+
+
 def test_archives_of_no_pages(spark):
     assert warc.read(spark, warc.write(spark.createDataFrame([], "page_id long, url string, html string"))).collect() == []
 

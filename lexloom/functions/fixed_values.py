@@ -16,24 +16,43 @@ HEADING_PREFIX = r"(?i)^(section|article|perkara)\s+\d+[a-z]?\s*"
 DOCUMENT_STOPWORDS = ["act", "akta", "and", "cetakan", "constitution", "federal", "law", "laws", "malaysia", "of", "perlembagaan", "reprint", "semula", "the"]
 QUERY_STOPWORDS = ["a", "an", "and", "are", "be", "by", "do", "does", "for", "in", "is", "of", "on", "or", "the", "to", "under", "what", "when", "where", "which", "who"]
 NORMAL_FORMS = {
-    "act": ["akta"],
-    "amendment": ["amend", "amends", "changed", "changes", "pindaan"],
-    "annual": ["tahunan"],
-    "appeal": ["appeals"],
-    "apply": ["application", "applies", "terpakai"],
-    "article": ["perkara"],
-    "commencement": ["dikuatkuasa", "dikuatkuasakan"],
-    "commercial": ["komersial"],
-    "define": ["defined", "definition", "ditakrifkan"],
-    "exclude": ["dikecualikan", "excluded", "exclusion", "pengecualian"],
-    "interpret": ["interpretation", "tafsiran"],
-    "introduce": ["introduced", "introduces", "introduction"],
-    "leave": ["cuti"],
-    "obligation": ["duties", "duty", "obligations"],
-    "rate": ["rates"],
-    "require": ["required", "requirement", "requires"],
-    "section": ["seksyen"],
-    "wage": ["wages"],
+    "akta": "act",
+    "amend": "amendment",
+    "amends": "amendment",
+    "appeals": "appeal",
+    "application": "apply",
+    "applies": "apply",
+    "changed": "amendment",
+    "changes": "amendment",
+    "cuti": "leave",
+    "defined": "define",
+    "definition": "define",
+    "dikecualikan": "exclude",
+    "dikuatkuasa": "commencement",
+    "dikuatkuasakan": "commencement",
+    "ditakrifkan": "define",
+    "duties": "obligation",
+    "duty": "obligation",
+    "excluded": "exclude",
+    "exclusion": "exclude",
+    "interpretation": "interpret",
+    "introduced": "introduce",
+    "introduces": "introduce",
+    "introduction": "introduce",
+    "komersial": "commercial",
+    "obligations": "obligation",
+    "pengecualian": "exclude",
+    "perkara": "article",
+    "pindaan": "amendment",
+    "rates": "rate",
+    "required": "require",
+    "requirement": "require",
+    "requires": "require",
+    "seksyen": "section",
+    "tafsiran": "interpret",
+    "tahunan": "annual",
+    "terpakai": "apply",
+    "wages": "wage",
 }
 RECALL_FAMILY = ["amendment", "appeal", "apply", "commencement", "define", "exclude", "interpret", "obligation", "order", "rate", "require", "scope", "wage"]
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]

@@ -33,7 +33,7 @@ def first_of(*rules: tuple[Column, float]) -> Column:
 
 
 def normal_token(token: Column) -> Column:
-    forms = F.create_map(*(F.lit(x) for normal, variants in V.NORMAL_FORMS.items() for v in variants for x in (v, normal)))
+    forms = F.create_map(*(F.lit(x) for pair in V.NORMAL_FORMS.items() for x in pair))
     return F.coalesce(F.element_at(forms, token), token)
 
 
@@ -72,6 +72,17 @@ def unit_key(unit_id: Column, section_id: Column) -> Column:
     return F.coalesce(F.nullif(unit_id, F.lit("")), section_id)
 
 
+def title_case(text: Column) -> Column:
+    """Each run of letters starts with a capital and goes on in lower case."""
+    runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "")
+
+
+def is_upper(text: Column) -> Column:
+    """No lower-case letter, and at least one capital."""
+    return (text == F.upper(text)) & (text != F.lower(text))
+
+
 _BLANKS = " \t\n\r\f\v"
 
 

@@ -9,31 +9,18 @@ from lexloom.functions import fixed_values as V
 from lexloom.functions.text import dedupe_key, first_sentence, normalized, preview, strip, tokens
 from lexloom.operators import answers, evaluation, graph, overlap, reports, retrieval, segmentation
 from lexloom.plans.query_context import contexts, route_mode
+from lexloom.registry import query
 from lexloom.sources.chunks import document_chunks, window_chunks
 from lexloom.sources.tables import table
 from lexloom.streaming import frames
 
 c = F.col
 _LIST = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-_NORMAL = "CASE t " + " ".join(f"WHEN '{v}' THEN '{n}'" for n, vs in V.NORMAL_FORMS.items() for v in vs) + " ELSE t END"
+_NORMAL = "CASE t " + " ".join(f"WHEN '{v}' THEN '{n}'" for v, n in V.NORMAL_FORMS.items()) + " ELSE t END"
 _ALL_TOKENS = "list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: " + _NORMAL + ")"
 _TOKENS = "list_filter(" + _ALL_TOKENS + ", lambda t: NOT list_contains(" + _LIST(V.QUERY_STOPWORDS) + ", t))"
 _ONE_LINE = "array_to_string(list_filter(list_transform(regexp_split_to_array({0}, '\\r\\n|\\n|\\r'), lambda x: trim(x, chr(9) || ' ')), lambda x: x <> ''), ' ')"
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
 @query(f"""
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct, sha256(array_to_string(a, ' ')) AS normal_sha256
 FROM (SELECT doc_id, {_TOKENS.format("text")} AS w, {_ALL_TOKENS.format("text")} AS a FROM documents)

@@ -79,7 +79,7 @@ def test_questions_of_law(spark, mode):
 def test_search_queries_rank_by_real_vectors(spark, tmp_path):
     import numpy as np
 
-    from lexloom import queries as Q
+    from lexloom import queries as Q, registry
 
     rng = np.random.default_rng(4)
     vectors = rng.normal(size=(300, 6)).astype("float32")
@@ -92,5 +92,5 @@ def test_search_queries_rank_by_real_vectors(spark, tmp_path):
     near = {f"{d}:{i + 1}:{i}": max(0.0, float(unit[(d + i) % 300] @ unit[Q.QUESTION_VECTORS[last]])) for d, i in chunks}
     best = sorted(((s, x) for x, s in near.items() if s > 0), key=lambda r: -r[0])[:5]
     for mode, weight in (("embedding", 1.0), ("hybrid", 0.2)):
-        out = [r for r in Q.QUERIES[f"q_search_{mode}"](spark, str(tmp_path)).orderBy("rank").collect() if r["query_id"] == last]
+        out = [r for r in registry.QUERIES[f"q_search_{mode}"](spark, str(tmp_path)).orderBy("rank").collect() if r["query_id"] == last]
         assert [(r["chunk_id"], r["score"]) for r in out] == [(x, pytest.approx(weight * s, abs=2e-6)) for s, x in best]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +61,13 @@ def byte_parts(batch: pa.RecordBatch, column: int, budget: int = 1 << 20) -> Ite
         yield batch.slice(start, stop - start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: Spark reuses its Python workers, and other stages need the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name that is not among columns, in any case of letters."""
     known = {c.lower() for c in columns}

@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._shared import byte_parts, slices
+from lexloom.llm._shared import byte_parts, give_back, slices
 
 #: Fixed value: the published byte-level pre-split pattern.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Pieces of text, and first pieces of lines (and odd words), after which a worker starts their cache anew.
-CACHED_WORDS, CACHED_FIRST = 250_000, 50_000
+CACHED_WORDS, CACHED_FIRST = 120_000, 30_000
 #: Byte states and arc answers after which a worker compiles anew.
-MOST_STATES, MOST_ARCS = 200_000, 200_000
+MOST_STATES, MOST_ARCS = 100_000, 50_000
 #: Longer words (in bytes) are encoded one by one; the others in chunks of CHUNK.
 LONG_WORD, CHUNK = 64, 1 << 14
 #: Text of about this size is worked on at a time.
@@ -362,6 +362,7 @@ class Encoder:
         """Drop the pieces that were looked up, so that a worker that goes on with other work holds the automaton only."""
         for known in (self.first, self.later, self.words):
             known.clear()
+        give_back()
 
 
 @lru_cache(maxsize=2)

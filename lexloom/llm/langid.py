@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._shared import byte_parts, slices, utf8_rows
+from lexloom.llm._shared import byte_parts, give_back, slices, utf8_rows
 
 WINDOW = 256
 STRIDE = 2
@@ -199,5 +199,6 @@ def predict(docs: DataFrame, net: ByteCnn | None, text_col: str = "text", lang_c
                     for i, lang, score in zip(rows, *net.predict([data[i] for i in rows], surest=surest), strict=True):
                         langs[i], scores[i] = net.langs[lang], score
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, text_col, lang_col, score_col])
+        give_back()
 
     return docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col])).mapInArrow(run, schema)

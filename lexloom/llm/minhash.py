@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._shared import durable, fresh, slices, utf8_rows
+from lexloom.llm._shared import durable, fresh, give_back, slices, utf8_rows
 from lexloom.llm.components import components
 
 BANDS, ROWS, MANTISSA = 32, 4, 10
@@ -179,6 +179,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 seq1, seq2 = sequence_hashes(words, at)
                 sketch = [registers(s).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(seq1), pa.array(seq2), pa.array(sketch, pa.binary())], names=SIGNATURE.names)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNATURE)
 
@@ -318,6 +319,7 @@ def true_links(docs: DataFrame, clusters: DataFrame, k: int, percent: int, repea
                 found, n = [], 0
         if found:
             yield _links(found)
+        give_back()
 
     return paired.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(decide, LINK)
 

@@ -12,18 +12,16 @@ from lexloom.plans.query_context import contexts, route_mode
 from lexloom.registry import query
 from lexloom.sources.chunks import document_chunks, window_chunks
 from lexloom.sources.tables import table
+from lexloom.sql_text import ALL_TOKENS, TOKENS
+from lexloom.sql_text import contains_any as _ANY
 from lexloom.streaming import frames
 
 c = F.col
-_LIST = lambda values: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-_NORMAL = "CASE t " + " ".join(f"WHEN '{v}' THEN '{n}'" for v, n in V.NORMAL_FORMS.items()) + " ELSE t END"
-_ALL_TOKENS = "list_transform(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: " + _NORMAL + ")"
-_TOKENS = "list_filter(" + _ALL_TOKENS + ", lambda t: NOT list_contains(" + _LIST(V.QUERY_STOPWORDS) + ", t))"
 _ONE_LINE = "array_to_string(list_filter(list_transform(regexp_split_to_array({0}, '\\r\\n|\\n|\\r'), lambda x: trim(x, chr(9) || ' ')), lambda x: x <> ''), ' ')"
 
 @query(f"""
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct, sha256(array_to_string(a, ' ')) AS normal_sha256
-FROM (SELECT doc_id, {_TOKENS.format("text")} AS w, {_ALL_TOKENS.format("text")} AS a FROM documents)
+FROM (SELECT doc_id, {TOKENS.format("text")} AS w, {ALLTOKENS.format("text")} AS a FROM documents)
 """)
 def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = tokens(c("text"))
@@ -31,9 +29,9 @@ def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TOPK = f"""
-q AS (SELECT item_id AS query_id, {_TOKENS.format("text")} AS w FROM benchmark),
+q AS (SELECT item_id AS query_id, {TOKENS.format("text")} AS w FROM benchmark),
 p AS (SELECT query_id, word, count(*) AS times, any_value(n) AS n FROM (SELECT query_id, len(w) AS n, unnest(w) AS word FROM q) GROUP BY 1, 2),
-d AS (SELECT doc_id, unnest(list_distinct({_TOKENS.format("text")})) AS word FROM documents),
+d AS (SELECT doc_id, unnest(list_distinct({TOKENS.format("text")})) AS word FROM documents),
 s AS (SELECT query_id, doc_id, CAST(sum(times) AS DOUBLE) / any_value(n) * 0.5 AS score FROM d JOIN p USING (word) GROUP BY 1, 2),
 top AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3)
 """
@@ -170,7 +168,6 @@ def q_marker_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", marker.alias("marker"), F.lead("event_id").over(w).alias("next_event"))
 
 
-_ANY = lambda col, cues: "(" + " OR ".join(f"contains({col}, '{x}')" for x in cues) + ")"
 
 
 @query(f"""

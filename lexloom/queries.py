@@ -21,7 +21,7 @@ _ONE_LINE = "array_to_string(list_filter(list_transform(regexp_split_to_array({0
 
 @query(f"""
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct, sha256(array_to_string(a, ' ')) AS normal_sha256
-FROM (SELECT doc_id, {TOKENS.format("text")} AS w, {ALLTOKENS.format("text")} AS a FROM documents)
+FROM (SELECT doc_id, {TOKENS.format("text")} AS w, {ALL_TOKENS.format("text")} AS a FROM documents)
 """)
 def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = tokens(c("text"))

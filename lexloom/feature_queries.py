@@ -144,7 +144,7 @@ c5 AS (
       CASE WHEN {_word("tokens", "apply")} AND NOT {_word("tokens", "exclude")} THEN 'application' END, CASE WHEN definition THEN 'interpretation' END,
       CASE WHEN contains(lowered, 'introduc') OR contains(normalized, 'data portability') OR contains(lowered, 'pemindahan data') THEN 'introduction' END], lambda x: x IS NOT NULL) AS intents,
     strict_definition OR amendment OR heading_lookup AS refine_headings FROM c4),
-ctx AS (
+ctx AS MATERIALIZED (
   SELECT *, has_unit AND NOT (amendment AND {contains_any("lowered", V.WHICH_UNIT_CUES)}) AS exact_lookup,
     CASE WHEN has_unit THEN false WHEN hierarchy AND NOT strict_definition THEN false ELSE strict_definition OR amendment OR (heading_lookup AND (document_hint OR gazette)) OR {contains_any("lowered", V.RERANK_CUES)}
       OR (obligation AND document_hint) OR (capability AND (document_hint OR legal_action)) OR (legal_action AND document_hint) END AS apply_rerank FROM c5)
@@ -178,7 +178,7 @@ p0 AS (
     array_to_string({ALL_TOKENS.format("substr(text, 1, 500)")}, ' ') AS opening, array_to_string({ALL_TOKENS.format("substr(text, 1, 400)")}, ' ') AS opening_400, {_line_list} AS lines,
     len(regexp_extract_all(text, '{V.CROSS_REFERENCE}')) AS refs, len(regexp_extract_all(text, '{V.OBLIGATION_TEXT}')) AS obligations, greatest(1, len(regexp_extract_all(text, '\S+'))) AS n_words,
     CAST(unit AS BIGINT) AS number FROM rules JOIN acts USING (document_id)),
-prep AS (
+prep AS MATERIALIZED (
   SELECT *, list_transform(list_filter(lines, lambda x: regexp_matches(x, '{V.HIERARCHY_LINE}')), lambda x: lower(regexp_extract(x, '{V.HIERARCHY_LINE}', 1)) || ':' || upper(regexp_extract(x, '{V.HIERARCHY_LINE}', 2))) AS markers,
     CASE WHEN chunk_index <= 25 THEN 1.0 WHEN chunk_index <= 75 THEN 0.5 WHEN chunk_index <= 150 THEN 0.15 ELSE 0 END AS position_bonus,
     CASE WHEN refs <= 1 THEN 0 ELSE least(1.0, refs / n_words * 40.0) END AS xref_penalty,

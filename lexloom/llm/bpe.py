@@ -275,7 +275,7 @@ class TokenAutomaton:
         return np.array(path[::-1], np.int32)
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+        return decode_ids(self.labels, ids)
 
 
 class Encoder:
@@ -365,11 +365,23 @@ class Encoder:
         give_back()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(definition: bytes) -> Encoder:
     return Encoder(TokenAutomaton(json.loads(definition)))
 
 
+@lru_cache(maxsize=1)
+def _labels(definition: bytes) -> list[bytes]:
+    """Arc labels by id: all that decoding needs."""
+    known, letters = json.loads(definition), byte_letters()
+    tokens = {i: bytes(letters[c] for c in t) for t, i in known["model"]["vocab"].items()} | {x["id"]: x["content"].encode() for x in known["added_tokens"]}
+    return [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)]
+
+
+def decode_ids(labels: list[bytes], ids: list[int]) -> str:
+    return b"".join(map(labels.__getitem__, ids)).decode("utf-8", "replace")
+
+
 def _definition(df: DataFrame, tokenizer_path: str):
     with open(tokenizer_path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())  # 2 MB: a vocabulary file
@@ -408,26 +420,38 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: s
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(text_col, T.StringType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _encoder(model.value).automaton
+        labels = _labels(model.value)
         for batch in batches:
             for start, stop in slices(pc.fill_null(pc.list_value_length(batch.column(len(kept))), 0).to_pylist(), SLICE_BYTES // 4):
                 part = batch.slice(start, stop - start)
-                texts = [automaton.decode(x.values.tolist() if x.values is not None else []) for x in part.column(len(kept))]
+                texts = [decode_ids(labels, x.values.tolist() if x.values is not None else []) for x in part.column(len(kept))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], names=[*kept, text_col])
 
     return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{ids_col}`")).mapInArrow(run, schema)
 
 
+ROUND_TRIP = T.StructType([T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)])
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, derived from the ids and the decoded text."""
-    ids = encode(docs.select("doc_id", "text"), tokenizer_path)
-    digests = ids.select(
-        "doc_id",
-        "ids",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
-    )
-    return decode(digests, tokenizer_path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, derived from the ids and the decoded text.
+
+    One pass encodes a slice of texts and decodes its ids, so that ids and texts do not travel and a task holds one worker.
+    """
+    model = _definition(docs, tokenizer_path)
+    schema = T.StructType([docs.schema["doc_id"], *ROUND_TRIP])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(model.value)
+        labels = encoder.automaton.labels
+        for batch in batches:
+            for part in byte_parts(batch, 1, SLICE_BYTES):
+                ids = [x.tolist() for x in encoder.encode_texts([t or "" for t in part.column(1).to_pylist()])]
+                texts = (hashlib.sha256(decode_ids(labels, x).encode()).hexdigest() for x in ids)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(map(digest, ids), pa.string()), pa.array(texts, pa.string())], names=schema.names)
+        encoder.forget()
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def digest(ids: list[int]) -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.llm._shared import byte_parts, fresh
+from lexloom.llm._shared import byte_parts, fresh, give_back
 
 
 # The base rules, in the order in which kinds are listed.
@@ -286,6 +286,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 base.append([{"kind": k, "start": s, "end": e} for s, e, k in found])
                 every.append([{"kind": k, "start": s, "end": e} for s, e, k in all_spans])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, kind_type), pa.array(every, kind_type)], names=[*kept, text_col, "base_spans", "secret_spans"])
+        give_back()
 
     return docs.select(*(F.col(f"`{c}`") for c in [*kept, text_col])).mapInArrow(run, schema)
 
@@ -323,6 +324,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
                 texts.append(mask_spans(text, spans, mask) if spans else text)
             columns = [*batch.columns[: len(rest)], pa.array(texts, pa.string()), pa.array(changed, pa.bool_()), *batch.columns[len(rest) + 1 :]]
             yield pa.RecordBatch.from_arrays(columns, names=[*rest, "text", flag, *["n_chars"] * counted])
+        give_back()
 
     if counted:
         schema = schema.add(docs.schema["n_chars"])

@@ -16,7 +16,7 @@ c = F.col
 #: The stated questions.
 ASKED = [
     "What is the definition of wages in Part II of the Records Act src3?",
-    "section 2(1) of the Records of src5",
+    "section 2(1) of the Records Act src3",
     "What must an employer do under the Employment Act about duties?",
     "who may appeal under the Records Act of src2",
     "What should I check before signing an employment contract under Akta Kerja?",
@@ -31,8 +31,17 @@ ASKED = [
     "the and of",
     "where does Chapter 3 begin",
     "What does section 12 say about the principal act and subsection (2a)?",
+    "What does Part II cover about interpretation of terms?",
+    "Which unit begins Chapter 3 of the Employment Act 1955?",
+    "Which provision amends section 12 of the principal act?",
+    "What new section 12 is introduced by Act A1727?",
+    "general amendment of the principal act under the PDPA Amendment Act 2024",
+    "when does the amendment come into force or commencement under Act A1727",
+    "Which provisions refer to section 6?",
+    "What is referred to under section 9 of the Minimum Wages Order 2024",
+    "",
 ]
-ACTS = ["Employment Act 1955", "Records Act (src3) 1960", "Personal Data Protection (Amendment) Act 2024", "Minimum Wages Order 2024", "Contracts Act 1950", "Undang-undang Perlembagaan", "Records of src5"]
+ACTS = ["Employment Act 1955", "Records Act (src3) 1960", "Personal Data Protection (Amendment) Act 2024", "Minimum Wages Order 2024", "Contracts Act 1950", "Undang-undang Perlembagaan", "Personal Data Protection Act 2010"]
 NAMES = [["Akta Kerja 1955"], [], ["Act A1727", "PDPA Amendment Act 2024"], ["P.U. (A) 376"], ["Act 136"], [], []]
 TYPES = ["section", "section", "section", "section", "section", "perkara", "Article"]
 HEADINGS = [
@@ -126,7 +135,7 @@ _definition = contains_any("lowered", V.DEFINITION_CUES)
 _rate_words = _lists("tokens", "rate", "wage", "minimum")
 CONTEXTS = rf"""
 c0 AS (SELECT * FROM (VALUES {", ".join(f"(CAST({i} AS BIGINT), {quoted(q)})" for i, q in enumerate(ASKED))}) AS t(query_id, raw)),
-c1 AS (SELECT *, lower(raw) AS lowered, {_surface} AS surface FROM c0),
+c1 AS (SELECT *, lower(raw) AS lowered, {_surface} AS surface FROM c0 WHERE trim(raw) <> ''),
 c2 AS (SELECT *, array_to_string({ALL_TOKENS.format("surface")}, ' ') AS normalized, {TOKENS.format("surface")} AS own FROM c1),
 c3 AS (SELECT *, list_transform({" || ".join(f"CASE WHEN {rule} THEN {one_of(words)} ELSE [] END" for rule, words in _expand)}, lambda t: {NORMAL}) AS more FROM c2),
 c4 AS (

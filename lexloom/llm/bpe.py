@@ -39,9 +39,9 @@ from lexloom.llm._shared import byte_parts, give_back, slices
 #: Fixed value: the published byte-level pre-split pattern.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Pieces of text, and first pieces of lines (and odd words), after which a worker starts their cache anew.
-CACHED_WORDS, CACHED_FIRST = 120_000, 30_000
+CACHED_WORDS, CACHED_FIRST = 80_000, 30_000
 #: Byte states and arc answers after which a worker compiles anew.
-MOST_STATES, MOST_ARCS = 100_000, 50_000
+MOST_STATES, MOST_ARCS = 300_000, 200_000
 #: Longer words (in bytes) are encoded one by one; the others in chunks of CHUNK.
 LONG_WORD, CHUNK = 64, 1 << 14
 #: Text of about this size is worked on at a time.

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import dedupe_key, has, strip, unit_key
+from lexloom.sources.tables import written
 
 c = F.col
 # Patterns and word lists.
@@ -152,3 +153,53 @@ def build(chunks: DataFrame) -> DataFrame:
     numbered = once.where("category = 'negative'").withColumn("nth", F.row_number().over(Window.orderBy("language", "query")))
     kept = numbered.join(F.broadcast(wanted), c("nth") <= c("wanted")).drop("nth", "wanted")
     return taken.unionByName(kept)
+
+
+#: Fixed value: a candidate of this confidence that needs no review is sure.
+SURE = 0.8
+
+
+def stats(candidates: DataFrame) -> DataFrame:
+    """candidates, sure and review by category, by document, by language and in all (gid tells which)."""
+    sets = candidates.groupingSets([[c("category")], [c("expected_doc")], [c("language")], []], "category", "expected_doc", "language")
+    sure = (c("confidence") >= SURE) & ~c("needs_review")
+    return sets.agg(F.grouping_id().alias("gid"), F.count("*").alias("candidates"), F.count_if(sure).alias("sure"), F.count_if(c("needs_review")).alias("review"))
+
+
+def in_final_order(candidates: DataFrame) -> DataFrame:
+    """Add place, from 1, by document (those without one last), category, language and text.
+
+    Numbers come from a range partitioning and the rows before each part, so no task holds all candidates.
+    """
+    order = [F.coalesce("expected_doc", F.lit("zzz-negative")), c("category"), c("language"), c("query")]
+    dealt = written(candidates.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ordered")
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - c("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return dealt.join(F.broadcast(before), "part").withColumn("place", c("before") + own).drop("part", "before")
+
+
+def newly_represented(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """expected_doc of current candidates that no baseline candidate has."""
+    return current.where("expected_doc IS NOT NULL").select("expected_doc").distinct().join(baseline.select("expected_doc").distinct(), "expected_doc", "left_anti")
+
+
+def selected(specs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates that specs(query, ...) choose, with the specs' other columns; a spec without its candidate is an error."""
+    key = lambda name: F.trim(c(name))
+    chosen = specs.withColumn("key", key("query")).join(candidates.withColumn("key", key("query")).drop("query"), "key", "left")
+    missing = F.raise_error(F.concat(F.lit("no candidate asks: "), c("query")))
+    return chosen.withColumn("query", F.when(c("generation_method").isNull(), missing).otherwise(c("query"))).drop("key")
+
+
+def with_units(entries: DataFrame, units: DataFrame) -> DataFrame:
+    """Entries(query, expected_doc, expected_unit, ...) with the chunk of the unit that each names; an unknown unit is an error."""
+    known = units.select(c("act_title").alias("expected_doc"), c("unit").alias("expected_unit"), c("chunk_id").alias("source_chunk_id"))
+    met = entries.join(known, ["expected_doc", "expected_unit"], "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no unit"), "expected_unit", F.lit("in"), "expected_doc"))
+    return met.withColumn("source_chunk_id", F.coalesce("source_chunk_id", missing))
+
+
+def once_by_text(payloads: DataFrame, order_col: str) -> DataFrame:
+    """Of payloads with the same trimmed query the first by order_col."""
+    return payloads.groupBy(F.trim(c("query")).alias("key")).agg(F.min_by(F.struct(*payloads.columns), c(order_col)).alias("row")).select("row.*")

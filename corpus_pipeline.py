@@ -18,6 +18,8 @@ from lexloom.llm._shared import fresh, read_table, shared_dir, small_batches
 ORACLE_SQL = None
 #: Texts of which no window has a language of this probability (less where there are many languages) are rejected, as are those without letters.
 LEAST_SCORE = 0.3
+#: Byte states of a worker in the token stage: fewer than usual, as the session's other stages need its memory too.
+TOKEN_STATES = 120_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, with their count, and digests of ids and decoded text."""
-    return bpe.round_trip(docs, queries.tokenizer_file())
+    return bpe.round_trip(docs, queries.tokenizer_file(), TOKEN_STATES, keep=False)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secret_scan), ("mixing", mixture), ("tokens", tokens)]

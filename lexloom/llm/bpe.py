@@ -99,7 +99,8 @@ class _StepTable:
 
 
 class TokenAutomaton:
-    def __init__(self, definition: dict):
+    def __init__(self, definition: dict, most_states: int = MOST_STATES):
+        self.most_states = most_states
         model = definition["model"]
         if model["type"] != "BPE" or definition["pre_tokenizer"].get("type") != "ByteLevel" or definition["pre_tokenizer"].get("add_prefix_space") or model.get("ignore_merges") or definition.get("normalizer"):
             raise ValueError("a byte-level BPE vocabulary without normalizer, prefix space or ignored merges is needed")
@@ -221,7 +222,7 @@ class TokenAutomaton:
 
     def _encode_chunk(self, words: list[bytes], size: np.ndarray, kind: type) -> list[bytes]:
         """Words in order of their size: all take their table step for one place at a time."""
-        if len(self.half) > MOST_STATES:
+        if len(self.half) > self.most_states:
             self._restart()
         n, longest = len(words), int(size[-1])
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -256,7 +257,7 @@ class TokenAutomaton:
 
     def encode_long(self, word: bytes) -> np.ndarray:
         """One word, by a table of its own."""
-        if len(self.half) > MOST_STATES:
+        if len(self.half) > self.most_states:
             self._restart()
         table: dict[int, int] = {}
         state, ending = 0, []
@@ -366,8 +367,8 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def _encoder(definition: bytes) -> Encoder:
-    return Encoder(TokenAutomaton(json.loads(definition)))
+def _encoder(definition: bytes, most_states: int = MOST_STATES) -> Encoder:
+    return Encoder(TokenAutomaton(json.loads(definition), most_states))
 
 
 @lru_cache(maxsize=1)
@@ -433,22 +434,26 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", text_col: s
 ROUND_TRIP = T.StructType([T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)])
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, most_states: int = MOST_STATES, keep: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, derived from the ids and the decoded text.
 
     One pass encodes a slice of texts and decodes its ids, so that ids and texts do not travel and a task holds one worker.
+    A worker holds about 1 KB for each of most_states byte states; without `keep` it drops the automaton at a
+    partition's end, which costs its compilation in each and leaves the room to other stages.
     """
     model = _definition(docs, tokenizer_path)
     schema = T.StructType([docs.schema["doc_id"], *ROUND_TRIP])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model.value)
+        encoder = _encoder(model.value, most_states)
         labels = encoder.automaton.labels
         for batch in batches:
             for part in byte_parts(batch, 1, SLICE_BYTES):
                 ids = [x.tolist() for x in encoder.encode_texts([t or "" for t in part.column(1).to_pylist()])]
                 texts = (hashlib.sha256(decode_ids(labels, x).encode()).hexdigest() for x in ids)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, ids), pa.int64()), pa.array(map(digest, ids), pa.string()), pa.array(texts, pa.string())], names=schema.names)
+        if not keep:
+            _encoder.cache_clear()
         encoder.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,11 @@ from lexloom.plans.query_context import contexts
 from lexloom.registry import query
 from lexloom.search_queries import inputs, search_sql
 from lexloom.sources import statutes
-from lexloom.sources.tables import table, written
+from lexloom.sources.chunks import read_stored, write_chunks
+from lexloom.sources.tables import shared_dir, table, written
 from lexloom.sql_text import contains_any, quoted
 from lexloom.statute_queries import _PACKED, _SECTIONS, MAX_WORDS, OVERLAP
+from lexloom.streaming import frames
 
 c = F.col
 CATEGORIES = ["definition", "direct_lookup", "obligation", "capability", "heading_lookup", "gazette_order", "amendment", "hierarchy", "bilingual", "negative"]
@@ -220,3 +223,41 @@ def q_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = gold.once_by_text(every.withColumn("order", F.struct("generation_method", "source_chunk_id")), "order").drop("order")
     specs = every.where("generation_method = 'direct_lookup_template'").select(F.trim("query").alias("query")).distinct()
     return gold.selected(specs, once).select("query", "generation_method", "expected_unit", "source_chunk_id")
+
+
+@query(f"""
+WITH {RULES}, d AS (SELECT document_id, lead(document_id) OVER (ORDER BY document_id) AS following, min(document_id) OVER () AS first FROM (SELECT DISTINCT document_id FROM rules)),
+u AS (SELECT document_id, unit AS unit_id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS nth FROM rules)
+SELECT document_id, unit_id, coalesce(following, first) AS other FROM u JOIN d USING (document_id) WHERE nth = 2 AND coalesce(following, first) <> document_id
+""")
+def q_next_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second unit of each act, asked of the next act."""
+    units = rules(spark, sf_dir).select("document_id", c("section_id").alias("unit_id"), c("chunk_index").alias("unit_ord"))
+    return evaluation.next_documents(units).select("document_id", "unit_id", "other")
+
+
+@query(f"""
+WITH {RULES}
+SELECT chunk_id, document_id, section_heading, section_id, chunk_subsection AS subsection_id, sha256(text) AS text_sha256, act_title, chunk_index, lower(chunk_unit_type) AS unit_type, unit AS unit_id, array_to_string(given, '|') AS names, entry_ord FROM rules
+""")
+def q_stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules written to a store that did not exist and read back, with the reader's defaults."""
+    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    before = read_stored(spark, path)
+    rows = rules(spark, sf_dir).withColumn("unit_id", F.nullif("unit_id", F.lit("")))
+    write_chunks(before.unionByName(rows.select(*before.columns)), path)
+    out = read_stored(spark, path)
+    return out.select("chunk_id", "document_id", "section_heading", "section_id", "subsection_id", F.sha2("text", 256).alias("text_sha256"), "act_title", "chunk_index", F.lower("unit_type").alias("unit_type"), "unit_id", F.array_join("document_aliases", "|").alias("names"), "entry_ord")
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+e AS (
+  SELECT conv_id, turn, 0 AS seq, 'meta' AS type, conv_id || ':' || turn AS payload FROM p
+  UNION ALL SELECT conv_id, turn, i + 1, 'token', substr(text, CAST(i * 48 + 1 AS INTEGER), 48) FROM (SELECT *, unnest(range(0, CAST(ceil(length(text) / 48.0) AS BIGINT))) AS i FROM p)
+  UNION ALL SELECT conv_id, turn, CAST(ceil(length(text) / 48.0) AS BIGINT) + 1, 'done', '' FROM p)
+SELECT conv_id, turn, CAST(seq AS INTEGER) AS seq, type, CAST(to_json({'type': type, 'payload': payload}) AS VARCHAR) AS line FROM e
+""")
+def q_stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message as a sequence of events: meta, tokens, done."""
+    return frames.event_lines(table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))), ["conv_id", "turn"])

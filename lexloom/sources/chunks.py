@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,16 @@ def read_chunks(spark: SparkSession, *paths: str) -> DataFrame:
     return with_defaults(rows.withColumn("entry_ord", F.coalesce("entry_ord", F.monotonically_increasing_id())))
 
 
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """Stored chunks; a path where nothing has been written holds none."""
+    try:
+        return read_chunks(spark, path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CHUNK)
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     """Replace the table at path."""
     chunks.write.mode("overwrite").json(path)

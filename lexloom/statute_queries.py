@@ -158,3 +158,23 @@ def q_boundary_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(c("i") % 3 == 0, F.concat_ws("\n", own, leak, F.concat(following, F.lit(". again")), F.lit("Article 7 of another"))).otherwise(own)
     chunks = rows.select(F.concat_ws(":", "document_id", number).alias("chunk_id"), "document_id", F.lower("label").alias("unit_type"), number.alias("unit_id"), number.alias("section_id"), text.alias("text"))
     return segmentation.boundary_leaks(chunks)
+
+
+_TYPED = "CASE i % 3 WHEN 0 THEN 'Section' WHEN 1 THEN 'Article' ELSE 'Perkara' END"
+
+
+@query(f"""
+WITH {_SECTIONS},
+s AS (SELECT document_id || '/' || i AS document_id, {_TYPED} AS kind, i, n + 8 AS words, {_TYPED} || ' ' || i || ' Rules of part ' || i AS heading, {_TYPED} || ' ' || i || ' Rules of part ' || i || chr(10) || '(1) the ' || line || '.' AS text FROM sec),
+p AS (SELECT *, CASE WHEN words >= {3 * MAX_WORDS} THEN list_transform(range(0, words, {MAX_WORDS - OVERLAP}), lambda k: array_to_string(regexp_extract_all(text, '\\S+')[k + 1:k + {MAX_WORDS}], ' ')) ELSE [text] END AS packed FROM s)
+SELECT document_id || ':' || i || ':' || (k - 1) AS chunk_id, lower(kind) AS unit_type, heading AS section_heading, '1' AS subsection_id, sha256(packed[k]) AS text_sha256 FROM (SELECT *, unnest(range(1, len(packed) + 1)) AS k FROM p)
+""")
+def q_section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single sections with headings of three unit types, chunked each for itself; those without text give nothing."""
+    rows = statutes.sections(table(spark, sf_dir, "documents"))
+    number = c("i").cast("string")
+    kind = F.when(c("i") % 3 == 0, "Section").when(c("i") % 3 == 1, "Article").otherwise("Perkara")
+    named = rows.select(F.concat_ws("/", "document_id", number).alias("document_id"), F.concat(F.lit(" "), kind, F.lit(" "), number, F.lit(" Rules of part "), number).alias("section_heading"), F.concat(F.lit("\n(1) the "), "line", F.lit(".\n")).alias("text"), F.lit("corpus").alias("source_path"), F.lit("Records").alias("act_title"))
+    empty = named.withColumns({"document_id": F.concat("document_id", F.lit("/empty")), "text": F.lit(" \n")})
+    out = segmentation.section_chunks(named.unionByName(empty), MAX_WORDS, OVERLAP)
+    return out.select("chunk_id", "unit_type", "section_heading", "subsection_id", F.sha2("text", 256).alias("text_sha256"))

@@ -19,8 +19,12 @@ def pieces(text: Column, size: int = PIECE) -> Column:
     return F.when(F.char_length(text) > 0, F.transform(starts, lambda s: F.substr(text, s, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def event_line(kind: str, payload: Column) -> Column:
-    return F.to_json(F.struct(F.lit(kind).alias("type"), payload.alias("payload")))
+def event_lines(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """keys, seq, type, line: of every text an event sequence of one meta, its pieces as tokens, and done."""
+    tokens = F.transform(pieces(c(text_col)), lambda p: F.struct(F.lit("token").alias("type"), p.alias("payload")))
+    ends = [F.array(F.struct(F.lit(kind).alias("type"), payload.alias("payload"))) for kind, payload in (("meta", F.concat_ws(":", *keys)), ("done", F.lit("")))]
+    rows = texts.select(*keys, F.posexplode(F.concat(ends[0], tokens, ends[1])).alias("seq", "event"))
+    return rows.select(*keys, "seq", c("event.type").alias("type"), F.to_json("event").alias("line"))
 
 
 def message_line(content: Column) -> Column:

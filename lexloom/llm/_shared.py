@@ -37,7 +37,7 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
 
 PART_ROWS = 1 << 10
 #: Rows and bytes in an Arrow batch between Spark and Python: both sides hold several.
-BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

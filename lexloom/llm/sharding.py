@@ -34,19 +34,16 @@ def hash_bits(df: DataFrame, key_col: str, content_col: str) -> Column:
     return F.concat(binary(key), binary(content))
 
 
-def assign(df: DataFrame, limit: int, key_col: str = "doc_id", content_col: str = "text", bits_col: str = "shard_bits") -> DataFrame:
-    """Return key_col, content bytes (n_bytes) and the shard of every row as shard_bits, a string of 0 and 1.
+def directory(rows: DataFrame, limit: int) -> tuple[DataFrame, list[int]] | None:
+    """The directory of rows(bits, n_bytes): (cell, entry, level) per cell, and the levels it has; None if all rows fit one shard.
 
-    Every shard holds at most `limit` bytes, but for a single row, or rows equal in key and content, that are
-    larger: these share all 64 bits and make one shard of the full depth. With everything within the limit,
-    or no rows, the directory has the one entry "". Null content has 0 bytes. Repeated rows stay.
+    One aggregate for each LEVEL bits: the bytes of the cells of buckets that are still open, and sums over the shorter
+    prefixes of the cells; the first that fits is the cell's entry.
     """
-    size = F.coalesce(F.octet_length(F.col(f"`{content_col}`").cast("string")), F.lit(0)).cast("long")
-    rows = durable(df.select(F.col(f"`{key_col}`"), size.alias("n_bytes"), hash_bits(df, key_col, content_col).alias("bits")), "sharding")
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     if total <= limit:
-        return rows.select(key_col, "n_bytes", F.lit("").alias(bits_col))
-    directory, open_rows, base = None, rows.select("bits", "n_bytes"), 0
+        return None
+    found_all, open_rows, base = None, rows.select("bits", "n_bytes"), 0
     while True:
         top = base + LEVEL
         cells = open_rows.groupBy(F.substring("bits", 1, top).alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n"))
@@ -58,7 +55,7 @@ def assign(df: DataFrame, limit: int, key_col: str = "doc_id", content_col: str
         shortest = prefixes.join(fits.select("prefix", "depth"), ["prefix", "depth"]).groupBy("cell").agg(F.min("depth").alias("depth"))
         found = durable(shortest, f"sharding-depths-{top}")
         entries = found.select(F.expr("substring(cell, 1, depth)").alias("entry"), F.lit(top).alias("level"), "cell")
-        directory = entries if directory is None else directory.unionByName(entries)
+        found_all = entries if found_all is None else found_all.unionByName(entries)
         if top >= BITS:
             break
         still = durable(cells.join(found, "cell", "left_anti").select("cell"), "sharding-open")
@@ -68,19 +65,46 @@ def assign(df: DataFrame, limit: int, key_col: str = "doc_id", content_col: str
         hint = F.broadcast(still) if n_open <= BROADCAST_ENTRIES else still
         open_rows = open_rows.join(hint, F.substring("bits", 1, top) == F.col("cell"), "left_semi")
         base = top
-    out = rows
-    levels = range(LEVEL, base + LEVEL + 1, LEVEL)
+    return found_all, list(range(LEVEL, base + LEVEL + 1, LEVEL))
+
+
+def _placed(rows: DataFrame, found: tuple[DataFrame, list[int]] | None) -> DataFrame:
+    """rows(bits, ...) with the directory entry that begins their bits, as column `shard`; the directory comes to the rows while it is small."""
+    if found is None:
+        return rows.withColumn("shard", F.lit(""))
+    entries, levels = found
+    names = rows.columns
     for top in levels:
-        part = directory.where(F.col("level") == top).select(F.col("cell").alias(f"cell_{top}"), F.col("entry").alias(f"entry_{top}"))
+        part = entries.where(F.col("level") == top).select(F.col("cell").alias(f"cell_{top}"), F.col("entry").alias(f"entry_{top}"))
         part = F.broadcast(part) if part.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES else part
-        out = out.join(part, F.substring("bits", 1, top) == F.col(f"cell_{top}"), "left")
-    return out.select(key_col, "n_bytes", F.coalesce(*(F.col(f"entry_{t}") for t in levels)).alias(bits_col))
+        rows = rows.join(part, F.substring("bits", 1, top) == F.col(f"cell_{top}"), "left")
+    return rows.select(*names, F.coalesce(*(F.col(f"entry_{t}") for t in levels)).alias("shard"))
+
+
+def _measured(df: DataFrame, key_col: str, content_col: str, kept: Column) -> DataFrame:
+    size = F.coalesce(F.octet_length(F.col(f"`{content_col}`").cast("string")), F.lit(0)).cast("long")
+    return df.select(kept, size.alias("n_bytes"), hash_bits(df, key_col, content_col).alias("bits"))
+
+
+def assign(df: DataFrame, limit: int, key_col: str = "doc_id", content_col: str = "text", bits_col: str = "shard_bits") -> DataFrame:
+    """Return key_col, content bytes (n_bytes) and the shard of every row as shard_bits, a string of 0 and 1.
+
+    Every shard holds at most `limit` bytes, but for a single row, or rows equal in key and content, that are
+    larger: these share all 64 bits and make one shard of the full depth. With everything within the limit,
+    or no rows, the directory has the one entry "". Null content has 0 bytes. Repeated rows stay.
+    """
+    rows = durable(_measured(df, key_col, content_col, F.col(f"`{key_col}`").alias("key")), "sharding")
+    placed = _placed(rows, directory(rows, limit))
+    return placed.select(F.col("key").alias(key_col), "n_bytes", F.col("shard").alias(bits_col))
 
 
 def write(df: DataFrame, folder: str, limit: int, key_col: str = "doc_id", content_col: str = "text") -> None:
-    """Write df with all its columns, one folder per shard. A shard's rows meet in one task, which the limit bounds."""
-    entries = assign(df, limit, key_col, content_col).select(F.col(key_col).alias("_key"), "shard_bits").distinct()
-    rows = df.withColumn("_bits", hash_bits(df, key_col, content_col))
-    # contents of one key may lie in several shards; a row's own bits choose among them
-    placed = rows.join(entries, rows[key_col].eqNullSafe(entries["_key"]) & F.expr("startswith(_bits, shard_bits)"))
-    placed.drop("_key", "_bits").repartition("shard_bits").write.partitionBy("shard_bits").parquet(folder)
+    """Write df, one folder shard=bits per shard, its rows in column `row`. A shard's rows meet in one task, which the limit bounds.
+
+    A row's own bits choose its shard: contents of one key may lie in several.
+    """
+    sizes = durable(_measured(df, key_col, content_col, F.col(f"`{key_col}`").alias("key")).select("bits", "n_bytes"), "sharding")
+    rows = _measured(df, key_col, content_col, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")).drop("n_bytes")
+    placed = _placed(rows, directory(sizes, limit)).drop("bits")
+    # a folder's name has a letter first, so that readers do not take the bits for a number
+    placed.withColumn("shard", F.concat(F.lit("b"), "shard")).repartition("shard").write.partitionBy("shard").parquet(folder)

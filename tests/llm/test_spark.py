@@ -151,6 +151,21 @@ def test_one_key_is_spread_by_content_and_equal_rows_share_a_shard(spark):
     assert [n for (bits, key), n in held.items() if key == "same"] == [5]
 
 
+def test_written_shards_hold_all_rows_within_the_limit(spark, tmp_path):
+    rows = [(f"k{i % 5}", f"text {i} " * (i % 7), i, "kept", "kept") for i in range(300)] + [("k1", None, -1, "kept", "kept")]
+    table = spark.createDataFrame(rows, "`the.key` string, body string, n long, shard string, bits string")
+    sharding.write(table, str(tmp_path / "shards"), 400, "the.key", "body")
+    found = spark.read.parquet(str(tmp_path / "shards")).select("shard", "row.*").toDF("folder", *table.columns).collect()
+    assert sorted(r["n"] for r in found) == sorted(r[2] for r in rows) and all(r["shard"] == r["bits"] == "kept" for r in found)
+    size, folder_of = Counter(), {}
+    for r in found:
+        size[r["folder"]] += len(r["body"] or "")
+        folder_of[r["n"]] = r["folder"]
+    assert max(size.values()) <= 400 and len(size) > 5
+    given = Counter(r["shard_bits"] for r in sharding.assign(table, 400, "the.key", "body").collect())
+    assert Counter(folder_of.values()) == Counter({"b" + bits: n for bits, n in given.items()})
+
+
 def test_tokens_equal_the_library(spark, docs, none):
     from tokenizers import Tokenizer
 
@@ -533,3 +548,94 @@ def test_the_whole_pipeline_equals_a_pass_by_hand(spark, tmp_path):
 def test_pipeline_stages_decide_as_their_operators(spark, docs):
     kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()}
     assert kept.isdisjoint({0, 1, 2, 3}) and {6, 9, 11, None} <= kept
+
+
+def test_language_of_documents_that_were_held_out(spark):
+    """op4 on a driver table: nearly all held-out texts with letters have their language."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").collect()}
+    out = [r for r in queries.op4_language(spark, sf).collect() if r["held_out"] and r["lang_pred"] != "und" and docs[r["doc_id"]]["lang"]]
+    assert len(out) > 100
+    assert sum(r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in out) / len(out) >= 0.95
+
+
+def independent_base(text):
+    """The base rules by hand, without the operator's patterns."""
+    found, low = [], "".join(c.lower() if c < "\x80" else c for c in text)
+    at = 0
+    while at < len(text):
+        stop = None
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            i = at + len(word)
+            if low.startswith(word, at):
+                i += text[i : i + 1] in ("'", '"') and text[i : i + 1] != ""
+                while text[i : i + 1] == " ":
+                    i += 1
+                if text[i : i + 1] not in (":", "=") or not text[i : i + 1]:
+                    continue
+                i += 1
+                while text[i : i + 1] == " ":
+                    i += 1
+                i += text[i : i + 1] in ("'", '"') and text[i : i + 1] != ""
+                begin = i
+                while text[i : i + 1] and (text[i].isascii() and (text[i].isalnum() or text[i] in "+/_.=-")):
+                    i += 1
+                if i > begin:
+                    stop = (begin, i)
+                    break
+        if stop:
+            if stop[1] - stop[0] >= 12:
+                found.append((at, 0, stop[1], "assign"))
+            at = stop[1]
+        else:
+            at += 1
+    for order, (kind, start, letters, least) in enumerate((("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 18), ("hex", "", "0123456789abcdef", 16)), 1):
+        at = 0
+        while at < len(text):
+            i = at + len(start)
+            if not text.startswith(start, at):
+                at += 1
+                continue
+            while i < len(text) and text[i] in letters:
+                i += 1
+            if i > at + len(start):
+                if i - at >= least:
+                    found.append((at, order, i, kind))
+                at = i
+            else:
+                at += 1
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(found))
+
+
+def test_secrets_equal_an_independent_scan(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.op5_secrets(spark, sf).collect()
+    assert len(out) == len(texts)
+    more = 0
+    for r in out:
+        base = independent_base(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest(), r["doc_id"]
+        kinds = [x.split(":")[0] for x in base.split(",") if x]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [kinds.count(k) for k in ("assign", "access", "hex")]
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert set(base.split(",") if base else []) <= set(spans)
+        covered = [x.split(":")[1:] for x in base.split(",") if x]
+        more += any(not any(int(a) < int(x.split(":")[2]) and int(x.split(":")[1]) < int(b) for a, b in covered) for x in spans)
+    assert more <= len(out) * 0.02  # spans of learned formats away from base spans: hardly any text has one
+
+
+def test_media_fields_by_hand(spark):
+    import struct
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op8_media(spark, sf).collect():
+        payload = texts[r["doc_id"]] + bytes(-len(texts[r["doc_id"]]) % 64 if texts[r["doc_id"]] else 64)
+        stored = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 8000, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+        assert (r["media_bytes"], r["media_sha256"], r["tail_crc32"]) == (len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(payload[-64:]))
+        counts = Counter(b >> 4 for b in payload)
+        crossings = sum((a < 128) != (b < 128) for a, b in zip(payload, payload[1:]))
+        hist = "/".join(str(counts[i]) for i in range(16))
+        assert r["feature"] == f"n={len(payload)};sum={sum(payload)};sq={sum(b * b for b in payload)};cross={crossings};hist={hist}"

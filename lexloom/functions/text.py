@@ -34,7 +34,8 @@ def first_of(*rules: tuple[Column, float]) -> Column:
 
 def normal_token(token: Column) -> Column:
     forms = F.create_map(*(F.lit(x) for pair in V.NORMAL_FORMS.items() for x in pair))
-    return F.coalesce(F.element_at(forms, token), token)
+    # a set tells the few words that have another form; a map would be searched word by word
+    return F.when(token.isin(list(V.NORMAL_FORMS)), F.element_at(forms, token)).otherwise(token)
 
 
 def all_tokens(text: Column) -> Column:

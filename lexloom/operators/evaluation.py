@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import unit_key
+from lexloom.sources.tables import in_order
 
 c = F.col
 MISSES = ("none", "right_section_wrong_subsection", "wrong_section", "wrong_act")
@@ -65,7 +66,7 @@ def judged(benchmark: DataFrame, results: DataFrame, aliases: DataFrame, k: int
     """
     modes = results.select("mode").distinct()
     fits = (c("act_title") == c("expected_doc")) & (c("unit") == c("expected_unit"))
-    rows = F.broadcast(benchmark.crossJoin(F.broadcast(modes))).join(results.where(c("rank") <= k), ["mode", "query_id"], "left").join(F.broadcast(named_documents(benchmark, aliases)), "query_id", "left")
+    rows = benchmark.crossJoin(modes).join(results.where(c("rank") <= k), ["mode", "query_id"], "left").join(named_documents(benchmark, aliases), "query_id", "left")
     hit = lambda n: F.coalesce(F.max(fits & (c("rank") <= n)), F.lit(False))
     keys = ["mode", "query_id", "category", "expected_doc", "expected_unit", "referenced"]
     out = rows.groupBy(*keys).agg(hit(1).alias("hit_at_1"), hit(3).alias("hit_at_3"), F.max(F.when(c("rank") == 1, c("act_title"))).alias("top_document"), F.count("rank").alias("n"), F.coalesce(F.max(c("act_title") == c("referenced")), F.lit(False)).alias("names_it"))
@@ -105,7 +106,7 @@ def rerank_diagnostics(benchmark: DataFrame, results: DataFrame, triggered: Data
     fits = (c("act_title") == c("expected_doc")) & (c("unit") == c("expected_unit"))
     asked = benchmark.where(c("category").isin(RERANKED) & c("expected_doc").isNotNull() & c("expected_unit").isNotNull())
     place = lambda mode: F.min(F.when(fits & (c("mode") == mode), c("rank")))
-    ranks = F.broadcast(asked).join(results, "query_id", "left").groupBy("query_id").agg(place("hybrid").alias("hybrid"), place("hybrid_rerank").alias("reranked"), place("hybrid_filtered_rerank").alias("filtered"))
+    ranks = asked.join(results, "query_id", "left").groupBy("query_id").agg(place("hybrid").alias("hybrid"), place("hybrid_rerank").alias("reranked"), place("hybrid_filtered_rerank").alias("filtered"))
     rows = ranks.join(triggered, "query_id")
     first = {n: F.coalesce(c(n) == 1, F.lit(False)) for n in ("hybrid", "reranked", "filtered")}
     return rows.agg(
@@ -126,14 +127,19 @@ def best_mode(rates: DataFrame) -> DataFrame:
     return rates.agg(F.min_by("mode", F.struct(-c("hit_at_1"), -c("hit_at_3"), "mode_order")).alias("mode"))
 
 
+def next_ones(rows: DataFrame, name: str, other: str) -> DataFrame:
+    """The distinct values of column `name`, each with the next one in order as `other`; after the last comes the first."""
+    placed = in_order(rows.select(name).distinct(), c(name))
+    n = placed.agg(F.max("place").alias("last"))
+    wanted = placed.crossJoin(F.broadcast(n)).select(name, (c("place") % c("last") + 1).alias("place"))  # n is one row
+    return wanted.join(placed.withColumnRenamed(name, other), "place").select(name, other)
+
+
 def next_documents(units: DataFrame) -> DataFrame:
     """For questions that must have no answer: the second unit of each document, asked of the next one (after the last comes the first).
 
-    units: document_id, unit_id, unit_ord. Documents with one unit give none. The documents' own table is what is put in one order.
+    units: document_id, unit_id, unit_ord. Documents with one unit give none.
     """
     nth = F.row_number().over(Window.partitionBy("document_id").orderBy("unit_ord"))
     second = units.withColumn("nth", nth).where("nth = 2").select("document_id", "unit_id")
-    order = Window.orderBy("document_id")
-    documents = units.select("document_id").distinct()
-    following = documents.withColumn("other", F.coalesce(F.lead("document_id").over(order), F.first("document_id").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    return second.join(following, "document_id").where(c("other") != c("document_id"))
+    return second.join(next_ones(units, "document_id", "other"), "document_id").where(c("other") != c("document_id"))

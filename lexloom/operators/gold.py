@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import dedupe_key, has, strip, unit_key
-from lexloom.sources.tables import written
+from lexloom.operators.evaluation import next_ones
+from lexloom.sources.tables import in_order
 
 c = F.col
 # Patterns and word lists.
@@ -128,10 +129,7 @@ def negatives(units: DataFrame) -> DataFrame:
     """Questions without an answer: a unit 999 of each act, and the heading of its second unit asked of the next act by title (the first after the last)."""
     by_title = Window.partitionBy("act_title").orderBy("unit_type", "number", "unit", "chunk_id")
     nth = units.withColumns({"nth": F.row_number().over(by_title), "of": F.count("*").over(Window.partitionBy("act_title"))}).where(c("nth") == F.least(F.lit(2), c("of")))
-    # one row per act: few enough for one order
-    titles = nth.select("act_title").distinct()
-    order = Window.orderBy("act_title")
-    following = titles.withColumn("other", F.coalesce(F.lead("act_title").over(order), F.first("act_title").over(order)))
+    following = next_ones(nth.select("act_title"), "act_title", "other")
     rules = _rules()
     made = F.array(*(F.when(rules[rule], F.struct(_text(en, ms).alias("query"), F.lit(method).alias("generation_method"), F.lit(confidence).alias("confidence"))) for method, confidence, rule, en, ms in NEGATIVES))
     rows = nth.join(following, "act_title").select(F.explode(F.array_compact(made)).alias("g"), "language")
@@ -150,7 +148,7 @@ def build(chunks: DataFrame) -> DataFrame:
     taken = once.where("category <> 'negative'").withColumn("turn", turn).where("turn <= 6")
     taken = taken.withColumn("place", F.row_number().over(Window.partitionBy("expected_doc").orderBy("turn", priority))).where("place <= 24").drop("turn", "place")
     wanted = taken.agg(F.greatest(F.lit(8), F.floor(F.count("*") / 6)).alias("wanted"))
-    numbered = once.where("category = 'negative'").withColumn("nth", F.row_number().over(Window.orderBy("language", "query")))
+    numbered = in_order(once.where("category = 'negative'"), c("language"), c("query"), place="nth")
     kept = numbered.join(F.broadcast(wanted), c("nth") <= c("wanted")).drop("nth", "wanted")
     return taken.unionByName(kept)
 
@@ -167,16 +165,8 @@ def stats(candidates: DataFrame) -> DataFrame:
 
 
 def in_final_order(candidates: DataFrame) -> DataFrame:
-    """Add place, from 1, by document (those without one last), category, language and text.
-
-    Numbers come from a range partitioning and the rows before each part, so no task holds all candidates.
-    """
-    order = [F.coalesce("expected_doc", F.lit("zzz-negative")), c("category"), c("language"), c("query")]
-    dealt = written(candidates.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ordered")
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - c("n")).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    return dealt.join(F.broadcast(before), "part").withColumn("place", c("before") + own).drop("part", "before")
+    """Add place, from 1, by document (those without one last), category, language and text."""
+    return in_order(candidates, F.coalesce("expected_doc", F.lit("zzz-negative")), c("category"), c("language"), c("query"))
 
 
 def newly_represented(current: DataFrame, baseline: DataFrame) -> DataFrame:

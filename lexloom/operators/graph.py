@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import points, strip, unit_key, words_in
+from lexloom.operators.retrieval import few
 from lexloom.sources.tables import written
 
 c = F.col
@@ -133,7 +134,7 @@ def search(graph: Graph, queries: DataFrame, k: int = 3) -> DataFrame:
     chunk = ["chunk_id", "document_id", "chunk_index"]
 
     hierarchy = asked.where("kind = 'hierarchy'").withColumns({"label_asked": F.lower(F.regexp_extract("query", ASKS_HIERARCHY, 1)), "id_asked": F.upper(F.regexp_extract("query", ASKS_HIERARCHY, 2)), "topic": F.filter(_words(c("query")), lambda t: ~t.isin(TOPIC_STOPWORDS))})
-    scored = graph.markers.join(F.broadcast(hierarchy), in_document).withColumn("s", points((c("label") == c("label_asked"), 4.0), (c("identifier") == c("id_asked"), 4.0)) + 2.0 * _overlap(c("topic"), _words(c("title")))).where("s > 0")
+    scored = graph.markers.join(few(hierarchy), in_document).withColumn("s", points((c("label") == c("label_asked"), 4.0), (c("identifier") == c("id_asked"), 4.0)) + 2.0 * _overlap(c("topic"), _words(c("title")))).where("s > 0")
     first = graph.edges.where("edge_type = 'CONTAINS'").join(graph.units.select(c("node_id").alias("dst"), "chunk_id", c("chunk_index").alias("unit_index")), "dst")
     first = first.groupBy(c("src").alias("node_id")).agg(F.min_by(F.struct("chunk_id", "unit_index"), F.struct("unit_index", "dst")).alias("first")).select("node_id", "first.*")
     by_marker = scored.join(first, "node_id").select("query_id", "chunk_id", "document_id", "chunk_index", (10.0 + c("s")).alias("score"), F.concat_ws(" ", F.lit("graph: hierarchy"), "label", "identifier").alias("reason"), c("node_id").alias("tie"))
@@ -143,7 +144,7 @@ def search(graph: Graph, queries: DataFrame, k: int = 3) -> DataFrame:
     amendment = asked.where("kind = 'amendment'").withColumns({"pairs": pairs, "q_words": _words(c("query"))})
     amendment = amendment.withColumns({"asks_commencement": q.rlike("into force|commencement|operation"), "general": F.contains(q, F.lit("general amendment")) | (F.contains(q, F.lit("principal act")) & (F.size("pairs") == 0) & ~F.contains(q, F.lit("introduc")))})
     targets = graph.edges.where("edge_type IN ('AMENDS', 'INSERTS')").groupBy(c("src").alias("node_id")).agg(F.collect_set(F.when(c("edge_type") == "AMENDS", c("dst"))).alias("amends"), F.collect_set(F.when(c("edge_type") == "INSERTS", c("dst"))).alias("inserts"))
-    rows = graph.units.join(targets, "node_id", "left").join(graph.commences.withColumn("commences", F.lit(True)), "node_id", "left").join(F.broadcast(amendment), in_document)
+    rows = graph.units.join(targets, "node_id", "left").join(graph.commences.withColumn("commences", F.lit(True)), "node_id", "left").join(few(amendment), in_document)
     ends = lambda edges, p: F.size(F.filter(F.coalesce(c(edges), words_in([])), lambda e: F.endswith(e, F.concat(F.lit(":"), p["pair"]))))
     heading = _words(c("section_heading"))
     per_target = F.aggregate("pairs", F.lit(0.0), lambda acc, p: acc + ends("amends", p) * 6.0 + ends("inserts", p) * 6.5 + F.when((ends("amends", p) + ends("inserts", p) == 0) & F.array_contains(heading, p["id"]), 0.5).otherwise(0.0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import fixed_values as V
-from lexloom.functions.text import dedupe_key, first_sentence, normalized, preview, strip, tokens
+from lexloom.functions.text import all_tokens, dedupe_key, first_sentence, preview, strip
 from lexloom.operators import answers, evaluation, graph, overlap, reports, retrieval, segmentation
 from lexloom.plans.query_context import contexts, route_mode
 from lexloom.registry import query
@@ -24,8 +24,9 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, CAST(len(list_distinct(w)) AS
 FROM (SELECT doc_id, {TOKENS.format("text")} AS w, {ALL_TOKENS.format("text")} AS a FROM documents)
 """)
 def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = tokens(c("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"), F.sha2(normalized(c("text")), 256).alias("normal_sha256"))
+    every = table(spark, sf_dir, "documents").select("doc_id", all_tokens(c("text")).alias("every"))
+    words = every.withColumn("words", F.filter("every", lambda t: ~t.isin(V.QUERY_STOPWORDS)))
+    return words.select("doc_id", F.size("words").cast("long").alias("n_tokens"), F.size(F.array_distinct("words")).cast("long").alias("n_distinct"), F.sha2(F.array_join("every", " "), 256).alias("normal_sha256"))
 
 
 _TOPK = f"""

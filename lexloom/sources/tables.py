@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,3 +29,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_order(rows: DataFrame, *order: Column, place: str = "place") -> DataFrame:
+    """rows with their place, from 1, in this order over all of them.
+
+    Rows are dealt by ranges; a row's place is that in its range after the counts of the ranges before it. So no task
+    holds all rows, and only one count a range is put in one order.
+    """
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    keys = {f"key_{i}": key for i, key in enumerate(order)}
+    keyed = rows.select(F.struct(*columns).alias("row"), *(key.alias(name) for name, key in keys.items()))
+    dealt = written(keyed.repartitionByRange(*keys).withColumn("range", F.spark_partition_id()), "ordered")
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(*keys))
+    placed = dealt.join(F.broadcast(before), "range").withColumn("own", own)
+    return placed.select("row.*", (F.col("before") + F.col("own")).alias(place))

@@ -36,6 +36,28 @@ def message_log(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", apart.alias("message"), F.lit(0).cast("long").alias("seq"), "role", F.lit("delta").alias("op"), "text")
 
 
+#: Characters that a delta of a streamed message has.
+DELTA = 400
+
+
+def streamed_log(conversations: DataFrame, piece: int = DELTA) -> DataFrame:
+    """The log of a chat service whose final messages are these: texts come in deltas of `piece` characters.
+
+    By a hash of the message, every third one was started otherwise and regenerated, and every third one has its
+    first delta edited; an empty text is one empty delta.
+    """
+    messages = message_log(conversations).withColumn("text", F.coalesce("text", F.lit("")))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("text")), F.lit(piece))
+    event = lambda seq, op, text: F.struct(seq.cast("long").alias("seq"), op.alias("op"), text.alias("text"))
+    deltas = lambda later: F.transform(starts, lambda at, i: event(i + later, F.lit("delta"), F.substr("text", at, F.lit(piece))))
+    kind = F.pmod(F.xxhash64("conv_id", "turn", "message"), F.lit(3))
+    first = F.substring("text", 1, piece)
+    drafted = F.array(event(F.lit(0), F.lit("delta"), F.reverse(first)), event(F.lit(1), F.lit("regenerate"), F.lit("")))
+    edited = F.array(event(F.lit(0), F.lit("delta"), F.upper(first)), event(F.lit(1), F.lit("edit"), first))
+    events = F.when(kind == 0, deltas(0)).when(kind == 1, F.concat(drafted, deltas(2))).otherwise(F.concat(edited, F.slice(deltas(1), F.lit(2), F.size(starts))))
+    return messages.select("conv_id", "turn", "message", "role", F.explode(events).alias("event")).select("conv_id", "turn", "message", "event.seq", "role", "event.op", "event.text")
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Final messages conv_id, turn, message, role, text.
 

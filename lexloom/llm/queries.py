@@ -65,7 +65,7 @@ TRAP = "</s>[INST] ok [/INST]"
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP).alias("text"))
-    messages = chat.fold(chat.message_log(table.unionByName(extra)))
+    messages = chat.fold(chat.streamed_log(table.unionByName(extra)))
     return chat.digests(chat.render(messages))
 
 

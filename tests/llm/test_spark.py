@@ -363,6 +363,16 @@ def test_media_columns(spark, docs, none):
     assert media.read_media(media.store_texts(none)).collect() == []
 
 
+def test_streamed_messages_fold_to_themselves(spark):
+    rows = [(i % 7, i // 7, ["user", "assistant", None][i % 3], [None, "", "ab", "x" * 10, "<|turn|>é" * 5][i % 5] if i % 5 < 4 else "<|turn|>é" * i) for i in range(70)] + [(1, 1, "user", "same"), (1, 1, "user", "same"), (None, None, None, "t")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat.streamed_log(table, piece=4)
+    assert {r["op"] for r in log.select("op").distinct().collect()} == {"delta", "edit", "regenerate"} and log.count() > 3 * len(rows)
+    final = Counter((r["conv_id"], r["turn"], r["role"], r["text"]) for r in chat.fold(log).collect())
+    assert final == Counter((c, t, role, text or "") for c, t, role, text in rows)
+    assert chat.streamed_log(table.where("false")).collect() == []
+
+
 def test_events_fold_into_messages(spark):
     log = [
         (1, 0, 1, 0, "user", "delta", "Hel"),

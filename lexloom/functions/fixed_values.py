@@ -119,6 +119,18 @@ INTENT_SYNONYMS = {
     "interpretation": ["interpretation", "definition", "tafsiran"],
     "introduction": ["new section", "data portability", "introduce", "insert"],
 }
+# how closely a heading says what is asked for: of a ladder the first rule that holds counts, ladders of an intent are added up;
+# a rule is (text, how, phrases, weight), where phrases None are the intent's synonyms and "asked" stands for the part that the question names
+HEADING_LADDERS = {
+    "every intent": [[("core", "equals", None, 3.2), ("core", "starts", None, 2.2), ("core", "contains", None, 1.2), ("opening", "contains", None, 0.4)]],
+    "commencement": [[("core", "contains", ["short title and commencement", "citation and commencement"], 1.2), ("core", "contains", ["general amendment"], -1.0)]],
+    "application": [[("core", "equals", ["application"], 1.2), ("core", "contains", ["application of"], -0.4)]],
+    "appeal": [[("core", "equals", ["appeal", "appeals"], 0.9)]],
+    "annual leave": [[("core", "equals", ["annual leave"], 1.0)]],
+    "revocation": [[("core", "equals", ["revocation"], 1.0)]],
+    "interpretation": [[("core", "contains", ["interpretation", "tafsiran"], 0.8)], [("core", "asked", [], 0.8), ("opening", "asked", [], 0.8)]],
+    "introduction": [[("core", "contains", ["new section"], 1.2)], [("core", "contains", ["data portability"], 1.0), ("opening", "contains", ["data portability"], 1.0)], [("core", "contains", ["general amendment"], -1.1)]],
+}
 #: Weight of each feature in the general scan, by mode.
 MODE_WEIGHTS = {
     "lexical": {"lexical": 1.0, "semantic": 0.0, "document": 0.8, "subsection": 1.0, "definition": 1.0, "recall": 1.0, "hierarchy": 1.0, "obligation_text": 1.0, "obligation_heading": 1.0, "obligation_internal": 1.0, "obligation_definition": -1.0, "agreement": 1.6},

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lexloom.feature_queries import ASKED, CONTEXTS, PREPARED, RULES, SCORES, rules
 from lexloom.functions import fixed_values as V
 from lexloom.operators import retrieval
-from lexloom.registry import query
+from lexloom.registry import ORACLES, query
 from lexloom.sources.tables import table
+from lexloom.sql_text import quoted
 
 c = F.col
 K = 4
@@ -178,3 +179,25 @@ def _search(mode: str) -> None:
 
 for _mode in retrieval.MODES:
     _search(_mode)
+
+
+def _document_sql(mode: str, k: int) -> str:
+    """The same search over the word windows of all documents, for the questions of the q_search queries."""
+    from lexloom.queries import QUESTIONS
+
+    step = V.CHUNK_WORDS - V.OVERLAP_WORDS
+    windows = f"""
+w0 AS (SELECT doc_id, source, regexp_extract_all(coalesce(text, ''), '\\S+') AS words FROM documents),
+w1 AS (SELECT doc_id, source, start // {step} AS i, array_to_string(words[start + 1:start + {V.CHUNK_WORDS}], ' ') AS text, words[start + 1:start + 4] AS opening_words FROM (SELECT *, unnest(range(0, len(words), {step})) AS start FROM w0)),
+rules AS (
+  SELECT doc_id || ':' || (i + 1) || ':' || i AS chunk_id, CAST(doc_id AS VARCHAR) AS document_id, 'Section ' || (i + 1) || ' ' || array_to_string(opening_words, ' ') AS section_heading, CAST(i + 1 AS VARCHAR) AS section_id, CAST(NULL AS VARCHAR) AS chunk_subsection, text,
+    'Records of ' || coalesce(source, 'none') AS act_title, CAST(i AS INTEGER) AS chunk_index, 'section' AS chunk_unit_type, CAST(i + 1 AS VARCHAR) AS unit, []::VARCHAR[] AS given, doc_id * 100000 + i AS entry_ord FROM w1)
+"""
+    asked = "c0 AS (SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {quoted(q)})" for i, q in enumerate(QUESTIONS)) + ") AS t(query_id, raw)),\n"
+    sql = search_sql(mode, k).replace(RULES, windows).replace(CONTEXTS, asked + CONTEXTS[CONTEXTS.index("c1 AS") :])
+    sql = sql.replace("document_id || '.pdf'", "document_id || '.txt'").replace("entry_ord % cv.n", "(CAST(document_id AS BIGINT) + chunk_index) % cv.n")
+    return f"WITH {windows} SELECT s.query_id, s.rank, s.score, chunk_id, rules.document_id, rules.section_heading, rules.section_id, rules.chunk_index FROM ({sql}) s JOIN rules USING (chunk_id)"
+
+
+for _mode in retrieval.MODES:
+    ORACLES[f"q_search_{_mode}"] = _document_sql(_mode, 5)

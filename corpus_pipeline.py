@@ -19,7 +19,7 @@ ORACLE_SQL = None
 #: Texts of which no window has a language of this probability (less where there are many languages) are rejected, as are those without letters.
 LEAST_SCORE = 0.3
 #: Byte states of a worker in the token stage: fewer than usual, as the session's other stages need its memory too.
-TOKEN_STATES = 120_000
+TOKEN_STATES = 40_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

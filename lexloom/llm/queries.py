@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, chat, langid, media, minhash, mixing, permutation_index, secrets, sharding, warc
+from lexloom.llm import bpe, chat, langid, media, minhash, mixing, permutation_index, repair, secrets, sharding, warc
 from lexloom.llm._shared import read_table, small_batches
 
 #: Production size of a shard of documents.
@@ -73,6 +74,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.repair(repair.damage(read_table(spark, sf_dir, "conversations"))))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -84,7 +89,7 @@ def _in_small_batches(query: Query) -> Query:
     return run
 
 
-QUERIES = {f.__name__: _in_small_batches(f) for f in (op1_sharding, op2_bpe, op3_mixing, op4_language, op5_secrets, op6_warc, op7_near_duplicates, op8_media, op9_chat, op10_nearest)}
+QUERIES = {f.__name__: _in_small_batches(f) for f in (op1_sharding, op2_bpe, op3_mixing, op4_language, op5_secrets, op6_warc, op7_near_duplicates, op8_media, op9_chat, op10_nearest, op11_repair)}
 
 _SHARDING_SQL = rf"""
 WITH rows AS (
@@ -155,10 +160,70 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.co
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
 """
 
+#: DuckDB has no crc32, so it is worked out by bits. The cheapest edits are found by a fold over (cost, audit, text written) for each last role.
+_REPAIR_SQL = r"""
+WITH named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS label FROM conversations),
+kinds AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(label, ''), lambda ch: CAST(ascii(ch) AS BIGINT)),
+      lambda crc, b: list_reduce(range(0, 8), lambda r, bit: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, xor(crc, b)),
+    CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind FROM named),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS again
+  FROM kinds WHERE kind <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, again) AS seen FROM damaged),
+flagged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+folded AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal,
+    list_reduce(list({'role': role, 'text': text, 'must': fault IN ('blank', 'duplicate'), 'add': CASE fault WHEN 'truncated' THEN 1 ELSE 0 END} ORDER BY i),
+      lambda w, t: list_transform([least(w.u, STEP(w.e, 2, 'I', 'user:'), STEP(w.s, 2, 'I', 'user:'), STEP(w.a, 2, 'I', 'user:'))],
+        lambda u: list_transform([least(w.a, STEP(u, 2, 'I', 'assistant:'))],
+          lambda a: {
+            'e': STEP(w.e, 3, 'D', NULL),
+            's': least(STEP(w.s, 3, 'D', NULL), TURN(w.e, 's', 900000, t.role)),
+            'u': least(STEP(u, 3, 'D', NULL), TURN(w.e, 'u', 2, 'user'), TURN(w.s, 'u', 2, 'user'), TURN(a, 'u', 2, 'user')),
+            'a': least(STEP(a, 3, 'D', NULL), TURN(u, 'a', 2, 'assistant'))})[1])[1],
+      {'e': FIRST(0), 's': FIRST(900000), 'u': FIRST(900000), 'a': FIRST(900000)}) AS w
+  FROM flagged GROUP BY conv_id),
+best AS (
+  SELECT *, least(w.e, w.a, STEP(w.u, 2, 'I', 'assistant:'), STEP(STEP(w.e, 2, 'I', 'user:'), 2, 'I', 'assistant:'), STEP(STEP(w.s, 2, 'I', 'user:'), 2, 'I', 'assistant:')) AS b FROM folded)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.t, '') AS audit, sha256(coalesce(substr(b.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+def _repair_sql() -> str:
+    """_REPAIR_SQL with its steps written out: FIRST(cost), STEP(way, cost, letter, line) and TURN(way, initial, cost of another role, role)."""
+    first = re.sub(r"FIRST\((\d+)\)", r"{'c': CAST(\1 AS BIGINT), 't': '', 'o': ''}", _REPAIR_SQL)
+    step = lambda way, cost, letter, line: f"{{'c': {way}.c + {cost}, 't': {way}.t || {letter}, 'o': {way}.o || coalesce(chr(10) || {line}, '')}}"
+
+    def turn(m: re.Match) -> str:
+        way, initial, other, role = m.groups()
+        same = f"left(t.role, 1) = {initial}"
+        return step(way, f"CASE WHEN t.must THEN 900000 WHEN {same} THEN t.add ELSE t.add + {other} END", f"CASE WHEN {same} THEN 'K' ELSE 'R' END", f"(CASE WHEN {same} THEN t.role ELSE {role} END || ':' || t.text)")
+
+    sql = re.sub(r"TURN\(([^,]+), ([^,]+), ([^,]+), ([^)]+)\)", turn, first)
+    while "STEP(" in sql:
+        sql = re.sub(r"STEP\(((?:\w|\.)+|\{[^{}]*\}), ([^,]+), ([^,]+), ([^)]+)\)", lambda m: step(*m.groups()), sql)
+    return sql
+
+
 ORACLES = {
     "op1_sharding": _SHARDING_SQL,
     "op6_warc": _WARC_SQL,
     "op7_near_duplicates": _NEAR_SQL,
     "op9_chat": _CHAT_SQL,
     "op10_nearest": _NEAREST_SQL,
+    "op11_repair": _repair_sql(),
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, chat, langid, media, minhash, mixing, permutation_index, repair, secrets, sharding, warc
+from lexloom.llm import bpe, chat, divergence, langid, media, minhash, mixing, permutation_index, repair, secrets, sharding, warc
 from lexloom.llm._shared import read_table, small_batches
 
 #: Production size of a shard of documents.
@@ -78,6 +78,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(repair.repair(repair.damage(read_table(spark, sf_dir, "conversations"))))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -89,7 +93,7 @@ def _in_small_batches(query: Query) -> Query:
     return run
 
 
-QUERIES = {f.__name__: _in_small_batches(f) for f in (op1_sharding, op2_bpe, op3_mixing, op4_language, op5_secrets, op6_warc, op7_near_duplicates, op8_media, op9_chat, op10_nearest, op11_repair)}
+QUERIES = {f.__name__: _in_small_batches(f) for f in (op1_sharding, op2_bpe, op3_mixing, op4_language, op5_secrets, op6_warc, op7_near_duplicates, op8_media, op9_chat, op10_nearest, op11_repair, op13_divergence)}
 
 _SHARDING_SQL = rf"""
 WITH rows AS (
@@ -219,6 +223,34 @@ def _repair_sql() -> str:
     return sql
 
 
+_DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '') AS terms
+  FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+many AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY 1, 2 HAVING count(*) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d) SEMI JOIN many USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v FROM many GROUP BY 1),
+total AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (
+  SELECT g.lang, g.source, m.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (t.total + 5 * v.v)::HUGEINT AS p
+  FROM g JOIN many m USING (lang) JOIN v USING (lang) JOIN total t USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = m.term),
+q AS (
+  SELECT lang, term, 1 + (1000000000 * (n + 5)::HUGEINT) // (sum(n) OVER (PARTITION BY lang) + 5 * v)::HUGEINT AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2) JOIN v USING (lang)),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+  UNION ALL SELECT a.lang, a.source, b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source WHERE a.lang NOT IN (SELECT lang FROM v)),
+near AS (SELECT lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT 'pair' AS part, *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM far
+  UNION ALL SELECT 'term', *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM near)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 ORACLES = {
     "op1_sharding": _SHARDING_SQL,
     "op6_warc": _WARC_SQL,
@@ -226,4 +258,5 @@ ORACLES = {
     "op9_chat": _CHAT_SQL,
     "op10_nearest": _NEAREST_SQL,
     "op11_repair": _repair_sql(),
+    "op13_divergence": _DIVERGENCE_SQL,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import bpe, chat, divergence, langid, media, minhash, mixing, permutation_index, repair, secrets, sharding, warc
+from lexloom.llm import bpe, chat, divergence, extraction, langid, media, minhash, mixing, permutation_index, repair, secrets, sharding, warc
 from lexloom.llm._shared import read_table, small_batches
 
 #: Production size of a shard of documents.
@@ -78,6 +78,11 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digests(repair.repair(repair.damage(read_table(spark, sf_dir, "conversations"))))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
 
@@ -93,7 +98,7 @@ def _in_small_batches(query: Query) -> Query:
     return run
 
 
-QUERIES = {f.__name__: _in_small_batches(f) for f in (op1_sharding, op2_bpe, op3_mixing, op4_language, op5_secrets, op6_warc, op7_near_duplicates, op8_media, op9_chat, op10_nearest, op11_repair, op13_divergence)}
+QUERIES = {f.__name__: _in_small_batches(f) for f in (op1_sharding, op2_bpe, op3_mixing, op4_language, op5_secrets, op6_warc, op7_near_duplicates, op8_media, op9_chat, op10_nearest, op11_repair, op12_main_text, op13_divergence)}
 
 _SHARDING_SQL = rf"""
 WITH rows AS (

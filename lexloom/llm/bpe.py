@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -195,8 +196,10 @@ class TokenAutomaton:
         if ended < 0:
             raise ValueError("a byte of the text is not in the vocabulary")
         going.append(ended + 1 << _NODE_BITS)
-        going.append(ended + 1 << _NODE_BITS)
-        key = tuple(going)  # its last member names the token that ends here
+        return self._number(tuple(going), ended)
+
+    def _number(self, key: tuple[int, ...], ended: int) -> int:
+        """The byte state of these half-spelled arcs; the last of them names the token that ends here."""
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.half)
@@ -256,22 +259,25 @@ class TokenAutomaton:
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode_long(self, word: bytes) -> np.ndarray:
-        """One word, by a table of its own."""
+        """One word, by a table of its own; it goes on from its present state where the states start anew."""
         if len(self.half) > self.most_states:
             self._restart()
         table: dict[int, int] = {}
-        state, ending = 0, []
+        state, ending = 0, array("i")
         for byte in word:
             step = state << 8 | byte
             following = table.get(step)
             if following is None:
                 following = table[step] = self._compile(state, byte)
             state = following
-            ending.append(state)
-        tokens = self.ends[ending]
+            ending.append(int(self.ends[state]))
+            if len(self.half) > self.most_states:
+                key = self.half[state]
+                self._restart()
+                table, state = {}, self._number(key, ending[-1])
         path, at = [], len(word)
         while at > 0:
-            path.append(tokens[at - 1])
+            path.append(ending[at - 1])
             at -= self.label_sizes[path[-1]]
         return np.array(path[::-1], np.int32)
 

@@ -68,6 +68,18 @@ def test_bpe_small_merges_against_direct_merging():
             wanted = [vocab[t] for t in tokens]
             assert np.frombuffer(automaton.encode_words([word.encode()])[0], np.uint32).tolist() == wanted
             assert automaton.encode_long(word.encode()).tolist() == wanted
+        assert all(len(set(half)) == len(half) for half in automaton.half)
+
+
+def test_a_long_word_goes_on_where_the_states_start_anew(both):
+    encoder, library = both
+    draw = random.Random(6)
+    word = "".join(draw.choice(["ab", "th", "ing", "xqz", "Ölü", "e"]) for _ in range(3000))
+    few = bpe.TokenAutomaton(json.loads(open(public.path("byte_bpe_50k.json"), "rb").read()), most_states=40)
+    assert few.encode_long(word.encode()).tolist() == encoder.automaton.encode_long(word.encode()).tolist() == library.encode(word, add_special_tokens=False).ids
+    assert len(few.half) <= 42
+    few.encode_words([w.encode() for w in word.split("e")])
+    assert all(len(set(half)) == len(half) for half in few.half)
 
 
 def test_language_model_tells_held_out_texts_apart():

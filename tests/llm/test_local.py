@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import struct
+import time
 import zlib
 from fractions import Fraction
 
@@ -135,6 +136,37 @@ def test_credentials_without_digits_and_over_base_spans():
         assert secrets.find_spans(text, formats)[1] == []
 
 
+def test_planted_credentials_among_ordinary_texts():
+    """All formats in 1,000 texts: recall, false reports, and what only looks like a credential."""
+    formats, draw = secrets.learned_formats(), random.Random(8)
+    words = secrets.ordinary_strings(4000, seed=99)
+    planted = secrets.labelled_credentials(143, seed=55)[:1000]
+    texts, clean = [], []
+    for _, value in planted:
+        around = [draw.choice(words) for _ in range(draw.randint(0, 200))]
+        clean.append(" ".join(around))
+        texts.append(" ".join([*around[:100], value, *around[100:]]))
+    found = 0
+    for (name, value), text, spans in zip(planted, texts, secrets.format_spans_of(texts, formats), strict=True):
+        found += any(k == name and text[s:e] == value for s, e, k in spans)
+    assert found >= 0.99 * len(planted)
+    assert sum(map(len, secrets.format_spans_of(clean, formats))) <= 1
+    for text in ("xoxb-hello-world-this-is-1-test", "ghp_abcdefghijklmn1", "AIzaBCDEFGHIJKLMNOPqrstuvw1"):
+        assert secrets.format_spans(text, formats) == []
+    assert secrets.format_spans("sk_live_" + "a" * 24, formats) == [(0, 32, "payment")]
+
+
+def test_long_runs_are_read_once():
+    formats = secrets.learned_formats()
+    value = dict(secrets.labelled_credentials(1, seed=4))["web_token"]
+    begin = time.perf_counter()
+    assert len(secrets.format_spans("eyJ" * 350_000, formats)) <= 1 and secrets.format_spans("AKIA" * 250_000 + "ghp_" * 9, formats) == []
+    assert time.perf_counter() - begin < 5
+    assert [(s, e) for s, e, k in secrets.format_spans("x" * 70_000 + " " + value, formats) if k == "web_token"] == [(70_001, 70_001 + len(value))]
+    together = secrets.format_spans_of(["", value, "é\U0001f600 " + value, "\ud800"], formats)
+    assert [[(s, e) for s, e, k in spans if k == "web_token"] for spans in together] == [[], [(0, len(value))], [(3, 3 + len(value))], []]
+
+
 def test_masking_joins_overlapping_spans():
     assert secrets.mask_spans("abcdefghij", [(1, 6, "a"), (3, 5, "b"), (5, 8, "c"), (9, 10, "d")], "#") == "a#i#"
 

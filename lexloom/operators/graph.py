@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.text import points, strip, unit_key, words_in
 from lexloom.operators.retrieval import few
-from lexloom.sources.tables import written
+from lexloom.sources.tables import along, written
 
 c = F.col
 # Patterns and words.
 UNIT_REFERENCE = r"(?i)\b(section|article|perkara)\s+(\d+[A-Za-z]?)\b"
 MARKER = r"^(Part|PART|Chapter|CHAPTER|Division|DIVISION|Bahagian|BAHAGIAN|Bab|BAB|Schedule|SCHEDULE|Jadual|JADUAL)\s+([A-Za-z0-9IVXLCDM]+)\s*[:.\-]?\s*(.*)$"
+#: The labels of MARKER.
+LABELS = ["part", "chapter", "division", "bahagian", "bab", "schedule", "jadual"]
 AMENDMENT_OF = r"(?i)\bamendment of (section|article|perkara)\s+(\d+[A-Za-z]?)\b"
 NEW_UNIT = r"(?i)\bnew (section|article|perkara)\s+(\d+[A-Za-z]?)\b"
 INSERT_AFTER = r"(?i)\binserting after (section|article|perkara)\s+(\d+[A-Za-z]?)\b"
@@ -49,13 +51,13 @@ def _pair(text: Column, pattern: str) -> Column:
 
 
 def units(chunks: DataFrame) -> DataFrame:
-    """The representative chunk of each unit (smallest chunk_index, chunk_id), in document order."""
+    """The representative chunk of each unit (smallest chunk_index, chunk_id), in document order, with the unit after it."""
     kind, ident = F.lower(F.coalesce(F.nullif("unit_type", F.lit("")), F.lit("section"))), F.upper(unit_key(c("unit_id"), c("section_id")))
     rows = chunks.withColumns({"unit_type": kind, "unit_id": ident})
     keep = ["chunk_index", "chunk_id", "section_heading", "act_title", "text", "document_aliases"]
     best = rows.groupBy("document_id", "unit_type", "unit_id").agg(F.min_by(F.struct(*keep), F.struct("chunk_index", "chunk_id")).alias("chunk"))
     named = best.select(F.concat_ws(":", "document_id", "unit_type", "unit_id").alias("node_id"), "document_id", "unit_type", "unit_id", "chunk.*")
-    return named.withColumn("ord", F.row_number().over(Window.partitionBy("document_id").orderBy("chunk_index", "chunk_id")))
+    return along(named, ["document_id"], ["chunk_index", "chunk_id"], following={"next_unit": c("node_id")}, number="ord")
 
 
 def marker_lines(nodes: DataFrame) -> DataFrame:
@@ -71,11 +73,11 @@ def marker_lines(nodes: DataFrame) -> DataFrame:
 
 def contains_edges(nodes: DataFrame, lines: DataFrame) -> DataFrame:
     """Of each label the last marker at or before a unit contains it; labels run on independently of each other."""
-    spans = lines.withColumn("until", F.lead("holds_from").over(Window.partitionBy("document_id", "label").orderBy("holds_from", "ord", "n")))
-    held = spans.where(c("until").isNull() | (c("until") > c("holds_from")))
-    at = nodes.select(c("document_id").alias("_d"), c("ord").alias("_o"), c("node_id").alias("dst"))
-    met = held.join(at, (c("document_id") == c("_d")) & (c("_o") >= c("holds_from")) & (c("until").isNull() | (c("_o") < c("until"))))
-    return met.select(F.lit("CONTAINS").alias("edge_type"), c("node_id").alias("src"), "dst")
+    marks = lines.select("document_id", c("holds_from").alias("at"), F.lit(0).alias("kind"), "ord", "n", "label", "node_id")
+    own = nodes.select("document_id", c("ord").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("ord"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("label"), "node_id")
+    held = along(marks.unionByName(own), ["document_id"], ["at", "kind", "ord", "n"], last={f"in_{x}": F.when(c("label") == x, c("node_id")) for x in LABELS})
+    markers = F.array_compact(F.array(*(c(f"in_{x}") for x in LABELS)))
+    return held.where("kind = 1").select(F.lit("CONTAINS").alias("edge_type"), F.explode(markers).alias("src"), c("node_id").alias("dst"))
 
 
 def principal_documents(nodes: DataFrame) -> DataFrame:
@@ -93,7 +95,7 @@ def build(chunks: DataFrame) -> Graph:
     nodes = written(units(chunks), "units")
     lines = written(marker_lines(nodes), "markers")
     markers = lines.groupBy("node_id", "document_id", "label", "identifier").agg(F.max_by(F.struct("title", "chunk_index"), F.struct("ord", "n")).alias("last")).select("node_id", "document_id", "label", "identifier", "last.*")
-    following = nodes.select(F.lit("NEXT_UNIT").alias("edge_type"), c("node_id").alias("src"), F.lead("node_id").over(Window.partitionBy("document_id").orderBy("ord")).alias("dst")).where("dst IS NOT NULL")
+    following = nodes.where("next_unit IS NOT NULL").select(F.lit("NEXT_UNIT").alias("edge_type"), c("node_id").alias("src"), c("next_unit").alias("dst"))
     whole = F.concat_ws("\n", "section_heading", "text")
     types, ids = F.regexp_extract_all(whole, F.lit(UNIT_REFERENCE), 1), F.regexp_extract_all(whole, F.lit(UNIT_REFERENCE), 2)
     named = F.array_distinct(F.zip_with(types, ids, lambda t, i: F.concat_ws(":", F.lower(t), F.upper(i))))

@@ -15,7 +15,7 @@ from lexloom.functions import fixed_values as V
 from lexloom.functions.text import cosine, first_of, numeric_unit, points
 from lexloom.plans import features as R
 from lexloom.plans.query_context import contexts
-from lexloom.sources.tables import written
+from lexloom.sources.tables import along, written
 
 c = F.col
 MODES = ("lexical", "embedding", "hybrid", "hybrid_rerank", "hybrid_filtered_rerank")
@@ -93,16 +93,28 @@ def exact_units(prepared: DataFrame, ctx: DataFrame) -> DataFrame:
     return met.withColumn("score", score)
 
 
+def neighbours(chunks: DataFrame) -> DataFrame:
+    """chunk_id, entry_ord, place, open_marker, next_run of every chunk: where it stands in its document, the place of the last chunk with a
+    marker before it, and that of the next chunk which begins another unit."""
+    own = ["chunk_index", "chunk_id", "entry_ord"]
+    slim = chunks.select("document_id", "source_path", *own, "unit", F.struct(*own).alias("place"), (F.size("markers") > 0).alias("marked"))
+    group = ["document_id", "source_path"]
+    known = along(slim, group, own, last={"open_marker": F.when(c("marked"), c("place")), "before": F.struct("unit")})
+    begins = ~c("unit").eqNullSafe(c("before.unit"))
+    return along(known, group, own, following={"next_run": F.when(begins, c("place"))}).select("chunk_id", "entry_ord", "place", "open_marker", "next_run")
+
+
 def hierarchy_units(prepared: DataFrame, ctx: DataFrame, referenced: DataFrame) -> DataFrame:
     """Chunks with the asked marker in the named document, the definition units in its scope, and what begins it.
 
-    A chunk that is found in several ways has its best score.
+    A chunk that is found in several ways has its best score. What stands in a scope, and what comes after a chunk, is looked up
+    from the chunk's own neighbours, so a document's chunks meet once.
     """
-    of_document = Window.partitionBy("document_id", "source_path").orderBy("chunk_index", "chunk_id", "entry_ord")
-    later = of_document.rowsBetween(1, Window.unboundedFollowing)
-    ordered = prepared.withColumn("ord", F.row_number().over(of_document)).withColumn("next_marker", F.min(F.when(F.size("markers") > 0, c("ord"))).over(later))
-    asked = ctx.where("hierarchy").join(referenced.drop("ref_names"), "query_id")
-    rows = ordered.join(asked, (c("document_id") == c("ref_document")) & (c("source_path") == c("ref_path")))
+    asked = written(ctx.where("hierarchy").join(referenced.drop("ref_names"), "query_id"), "asked")
+    named_documents = asked.select(c("ref_document").alias("document_id"), c("ref_path").alias("source_path")).distinct()
+    chunks = prepared.join(few(named_documents), ["document_id", "source_path"], "left_semi")
+    placed = chunks.join(neighbours(chunks), ["chunk_id", "entry_ord"])
+    rows = written(placed.join(few(asked), (c("document_id") == c("ref_document")) & (c("source_path") == c("ref_path"))), "asked-parts")
     inner = F.lower("chunk_unit_type").isin("article", "perkara")
     begin = points((F.lit(True), 1.5), (c("starts_with_heading"), -2.0), (c("compact_tail"), -1.0), (F.lower("chunk_unit_type") == "section", 1.0), (inner, -1.5))
     reliability = c("position_bonus") - c("xref_penalty") * 2.0 + points((c("marked_tail"), 0.75))
@@ -110,19 +122,16 @@ def hierarchy_units(prepared: DataFrame, ctx: DataFrame, referenced: DataFrame)
     anchors = rows.where(R.has_marker())
     found = anchors.withColumn("score", 7.0 + named + reliability + F.when(c("begin"), begin).otherwise(0.0))
     lead = first_of((c("starts_with_heading") & c("compact_tail"), 0.5), (c("starts_with_heading"), 1.25), (c("compact_tail"), 3.0), (F.lit(True), 0.75)) + points((inner, 1.5)) - c("xref_penalty") * 1.5
-    at = anchors.select(c("query_id").alias("a_query"), c("ord").alias("a_ord"), c("next_marker").alias("a_next"), c("unit").alias("a_unit"), lead.alias("a_lead"))
-    after = rows.join(at, (c("query_id") == c("a_query")) & (c("ord") > c("a_ord")))
+    at = anchors.select(c("query_id").alias("a_query"), c("place").alias("a_place"), c("next_run").alias("a_run"), lead.alias("a_lead"))
     unit = F.coalesce(F.nullif("unit", F.lit("")), c("chunk_id"))
-    in_scope = after.where(c("definition") & (c("a_next").isNull() | (c("ord") < c("a_next"))))
-    in_scope = in_scope.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "a_ord", unit).orderBy("ord"))).where("nth = 1").drop("nth")
-    scoped = in_scope.withColumn("scope_score", R.scope_definition()).where("scope_score > 0").withColumn("score", 8.5 + named + c("scope_score")).drop("scope_score")
-    others = after.where(c("begin") & ~c("unit").eqNullSafe(c("a_unit")))
-    others = others.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "a_ord").orderBy("ord"))).where("nth = 1").drop("nth")
+    inside = rows.where(c("definition") & (F.size("markers") == 0)).join(at.select("a_query", "a_place"), (c("query_id") == c("a_query")) & (c("open_marker") == c("a_place")))
+    inside = inside.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "a_place", unit).orderBy("place"))).where("nth = 1").drop("nth")
+    scoped = inside.withColumn("scope_score", R.scope_definition()).where("scope_score > 0").withColumn("score", 8.5 + named + c("scope_score")).drop("scope_score")
+    others = rows.where(c("begin")).join(at.select("a_query", "a_run", "a_lead"), (c("query_id") == c("a_query")) & (c("place") == c("a_run")))
     next_units = others.withColumn("score", 6.0 + named + c("position_bonus") + c("a_lead"))
-    extra = ["a_query", "a_ord", "a_next", "a_unit", "a_lead"]
-    every = found.unionByName(scoped.drop(*extra)).unionByName(next_units.drop(*extra))
-    best = F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(c("score").desc(), "ord"))
-    return every.withColumn("nth", best).where("nth = 1").drop("nth", "ord", "next_marker", "ref_document", "ref_path")
+    every = found.unionByName(scoped.drop("a_query", "a_place")).unionByName(next_units.drop("a_query", "a_run", "a_lead"))
+    best = F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy(c("score").desc(), "place"))
+    return every.withColumn("nth", best).where("nth = 1").drop("nth", "place", "open_marker", "next_run", "ref_document", "ref_path")
 
 
 def refine_by_document(rows: DataFrame, referenced: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from lexloom.gold_queries import CANDIDATES, _SET
 from lexloom.operators import evaluation, gold, metadata, retrieval
 from lexloom.plans.query_context import contexts
 from lexloom.registry import query
-from lexloom.search_queries import inputs, search_sql
+from lexloom.search_queries import inputs, modes_sql
 from lexloom.sources import statutes
 from lexloom.sources.chunks import read_stored, write_chunks
 from lexloom.sources.tables import shared_dir, table, written
@@ -35,7 +35,7 @@ _BENCHMARK = "bench AS (SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGIN
 _ALIASES = "aliases AS (SELECT DISTINCT * FROM (VALUES " + ", ".join(f"({quoted(a.lower())}, {quoted(act)})" for act, names in zip(ACTS, NAMES) for a in [act, *names]) + ") AS t(alias, act_title))"
 #: Two modes are enough for what is asked of each by itself.
 SIMPLE = ("lexical", "embedding")
-_found_sql = lambda modes: "found AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT '{mode}' AS mode, s.query_id, s.rank, r.act_title, r.unit FROM ({search_sql(mode)}) s JOIN rules r USING (chunk_id)" for mode in modes) + ")"
+_found_sql = lambda modes: f"{modes_sql(modes)}, found AS MATERIALIZED (SELECT mode, s.query_id, s.rank, s.score, s.chunk_id, r.act_title, r.unit FROM searched s JOIN rules r USING (chunk_id))"
 
 
 def _found(spark: SparkSession, sf_dir: str, modes: tuple[str, ...] = EVALUATED) -> DataFrame:
@@ -53,14 +53,14 @@ def _cases(spark: SparkSession, sf_dir: str, modes: tuple[str, ...] = EVALUATED)
     return evaluation.judged(_benchmark(spark), _found(spark, sf_dir, modes), evaluation.alias_lookup(rules(spark, sf_dir)))
 
 
-_judged_sql = lambda modes: f"""{RULES}, {_BENCHMARK}, {_ALIASES}, {_found_sql(modes)},
-named AS (SELECT query_id, act_title AS referenced FROM (SELECT query_id, act_title, row_number() OVER (PARTITION BY query_id ORDER BY length(alias) DESC, alias, act_title) AS nth FROM bench JOIN aliases ON contains(lower(query), alias)) WHERE nth = 1),
-j0 AS (
+_judged_sql = lambda modes: f"""{_found_sql(modes)}, {_BENCHMARK}, {_ALIASES},
+named AS MATERIALIZED (SELECT query_id, act_title AS referenced FROM (SELECT query_id, act_title, row_number() OVER (PARTITION BY query_id ORDER BY length(alias) DESC, alias, act_title) AS nth FROM bench JOIN aliases ON contains(lower(query), alias)) WHERE nth = 1),
+j0 AS MATERIALIZED (
   SELECT m.mode, b.query_id, category, expected_doc, expected_unit, referenced, coalesce(bool_or(act_title = expected_doc AND unit = expected_unit AND rank = 1), false) AS hit_at_1,
     coalesce(bool_or(act_title = expected_doc AND unit = expected_unit), false) AS hit_at_3, max(CASE WHEN rank = 1 THEN act_title END) AS top_document, count(rank) AS n, coalesce(bool_or(act_title = referenced), false) AS names_it
   FROM bench b CROSS JOIN (SELECT DISTINCT mode FROM found) m LEFT JOIN found f ON f.mode = m.mode AND f.query_id = b.query_id AND f.rank <= 3 LEFT JOIN named nm ON nm.query_id = b.query_id GROUP BY 1, 2, 3, 4, 5, 6),
-j1 AS (SELECT *, expected_doc IS NULL OR category = 'negative' AS negative, CASE WHEN referenced IS NULL THEN n = 0 ELSE NOT names_it END AS silent FROM j0),
-judged AS (
+j1 AS MATERIALIZED (SELECT *, expected_doc IS NULL OR category = 'negative' AS negative, CASE WHEN referenced IS NULL THEN n = 0 ELSE NOT names_it END AS silent FROM j0),
+judged AS MATERIALIZED (
   SELECT *, negative AND silent AS quiet, NOT negative AND n > 0 AND top_document <> expected_doc AS wrong_document,
     CASE WHEN negative THEN CASE WHEN silent THEN NULL ELSE 'no_answer_failure' END WHEN hit_at_1 THEN NULL WHEN category IN ('hierarchy', 'amendment') THEN category || '_failure' WHEN category = 'gazette_order' THEN 'gazette_failure'
       WHEN top_document IS NULL THEN 'no_answer_failure' WHEN top_document <> expected_doc THEN 'wrong_document' ELSE 'wrong_unit_in_right_document' END AS bucket FROM j1)"""
@@ -101,8 +101,8 @@ _place = lambda mode: f"min(CASE WHEN mode = '{mode}' AND act_title = expected_d
 
 
 @query(f"""
-WITH {RULES}, {_BENCHMARK}, {_found_sql(EVALUATED[1:])}, {CONTEXTS},
-pl AS (SELECT b.query_id, {_place("hybrid")} AS a, {_place("hybrid_rerank")} AS b, {_place("hybrid_filtered_rerank")} AS c FROM bench b LEFT JOIN found USING (query_id) WHERE category IN ('heading_lookup', 'bilingual', 'amendment') AND expected_doc IS NOT NULL GROUP BY 1)
+WITH {_found_sql(EVALUATED[1:])}, {_BENCHMARK},
+pl AS MATERIALIZED (SELECT b.query_id, {_place("hybrid")} AS a, {_place("hybrid_rerank")} AS b, {_place("hybrid_filtered_rerank")} AS c FROM bench b LEFT JOIN found USING (query_id) WHERE category IN ('heading_lookup', 'bilingual', 'amendment') AND expected_doc IS NOT NULL GROUP BY 1)
 SELECT count(*) AS focus_queries, count(*) FILTER (apply_rerank) AS triggered_queries, count(a) AS correct_present_before_rerank, count(*) FILTER (a = 1) AS hybrid_top1_correct, count(*) FILTER (b = 1) AS rerank_top1_correct,
   count(*) FILTER (c = 1) AS filtered_rerank_top1_correct, count(*) FILTER (a = 1 AND b IS DISTINCT FROM 1) AS hybrid_only_wins, count(*) FILTER (b = 1 AND a IS DISTINCT FROM 1) AS rerank_only_wins, count(*) FILTER (c = 1 AND a IS DISTINCT FROM 1) AS filtered_rerank_only_wins
 FROM pl JOIN ctx USING (query_id)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,11 @@ sr AS MATERIALIZED (
 
 def base_sql(mode: str, k: int) -> str:
     """CTEs up to base: the k best of lexical, embedding or hybrid, with rank and score."""
+    return f"{scored_sql(mode)},\n{_ranked_sql(mode, k)}"
+
+
+def _ranked_sql(mode: str, k: int) -> str:
+    """The CTEs of base_sql after those that score."""
     general = " + ".join(f"{V.MODE_WEIGHTS[mode][n]} * {column}" for n, column in _PARTS.items() if V.MODE_WEIGHTS[mode][n])
     special = "true" if mode != "embedding" else "false"
     calls = ("hierarchy AND hierarchy_match > 0", "obligation AND obligation_text > 0 AND obligation_definition <= 0", "recall > 0")
@@ -72,22 +79,25 @@ i{n} AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN member THEN 0 ELSE 1 END, score DESC, {_ORDER}) AS anew FROM n{n}))"""
         before = f"i{n}"
     chosen = before if mode == "hybrid" else "i0"
-    return f"""{scored_sql(mode)},
-e0 AS (SELECT *, 10.0 + document * 2 - obligation_definition + subsection + defines + recall + hierarchy_match + obligation_text + obligation_heading + obligation_internal + lexical AS first_score FROM sr
+    return f"""e0 AS (SELECT *, 10.0 + document * 2 - obligation_definition + subsection + defines + recall + hierarchy_match + obligation_text + obligation_heading + obligation_internal + lexical AS first_score FROM sr
   WHERE {special} AND exact_lookup AND lower(chunk_unit_type) = unit_type AND upper(unit) = unit_id),
 e1 AS (SELECT *, first_score + moved AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_score DESC, {_ORDER}) AS nth FROM e0) WHERE nth <= {k}),
-exact AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {_ORDER}) AS rank FROM e1),
-o0 AS (SELECT chunk_id, document_id, row_number() OVER (PARTITION BY document_id ORDER BY {_ORDER}) AS ord, len(markers) > 0 AS has_markers FROM prep),
-o1 AS (SELECT chunk_id, ord, min(CASE WHEN has_markers THEN ord END) OVER (PARTITION BY document_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_marker FROM o0),
-h0 AS (
+exact AS MATERIALIZED (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {_ORDER}) AS rank FROM e1),
+o0 AS (SELECT chunk_id, document_id, row_number() OVER d AS ord, len(markers) > 0 AS has_markers, coalesce(unit IS DISTINCT FROM lag(unit) OVER d, true) AS new_run FROM prep WINDOW d AS (PARTITION BY document_id ORDER BY {_ORDER})),
+o1 AS (
+  SELECT chunk_id, ord, has_markers, max(CASE WHEN has_markers THEN ord END) OVER (PARTITION BY document_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open_marker,
+    min(CASE WHEN new_run THEN ord END) OVER (PARTITION BY document_id ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_run FROM o0),
+h0 AS MATERIALIZED (
   SELECT *, 3 * document + lexical AS named, position_bonus - xref_penalty * 2 + CASE WHEN marked_tail THEN 0.75 ELSE 0 END AS reliability,
     1.5 - CASE WHEN starts_with_heading THEN 2 ELSE 0 END - CASE WHEN compact_tail THEN 1 ELSE 0 END + CASE WHEN lower(chunk_unit_type) = 'section' THEN 1 ELSE 0 END - CASE WHEN {_INNER} THEN 1.5 ELSE 0 END AS opening_bonus,
     CASE WHEN starts_with_heading AND compact_tail THEN 0.5 WHEN starts_with_heading THEN 1.25 WHEN compact_tail THEN 3.0 ELSE 0.75 END + CASE WHEN {_INNER} THEN 1.5 ELSE 0 END - xref_penalty * 1.5 AS lead_bonus
   FROM sr JOIN o1 USING (chunk_id) WHERE {special} AND hierarchy AND inside AND query_id NOT IN (SELECT query_id FROM exact)),
 anchor AS (SELECT * FROM h0 WHERE hierarchy_match > 0),
-beyond AS (SELECT h0.*, a.ord AS a_ord, a.next_marker AS a_next, a.unit AS a_unit, a.lead_bonus AS a_lead FROM h0 JOIN anchor a ON a.query_id = h0.query_id AND h0.ord > a.ord),
-scope1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, a_ord, unit ORDER BY ord) AS nth FROM beyond WHERE definition AND (a_next IS NULL OR ord < a_next)) WHERE nth = 1 AND scope_definition > 0),
-next1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, a_ord ORDER BY ord) AS nth FROM beyond WHERE begins AND unit IS DISTINCT FROM a_unit) WHERE nth = 1),
+scope1 AS (
+  SELECT * FROM (
+    SELECT h0.*, row_number() OVER (PARTITION BY h0.query_id, h0.open_marker, h0.unit ORDER BY h0.ord) AS nth FROM h0 JOIN anchor a ON a.query_id = h0.query_id AND a.ord = h0.open_marker WHERE h0.definition AND NOT h0.has_markers)
+  WHERE nth = 1 AND scope_definition > 0),
+next1 AS (SELECT h0.*, a.lead_bonus AS a_lead FROM h0 JOIN anchor a ON a.query_id = h0.query_id AND h0.ord = a.next_run WHERE h0.begins),
 h1 AS (
   SELECT query_id, chunk_id, chunk_index, entry_ord, ord, 7.0 + named + reliability + CASE WHEN begins THEN opening_bonus ELSE 0 END AS score FROM anchor
   UNION ALL SELECT query_id, chunk_id, chunk_index, entry_ord, ord, 8.5 + named + scope_definition FROM scope1
@@ -96,11 +106,11 @@ h2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_
 parts AS (SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {_ORDER}) AS rank FROM h2) WHERE rank <= {k}),
 g0 AS (SELECT *, {general} AS first_score FROM sr WHERE query_id NOT IN (SELECT query_id FROM exact) AND query_id NOT IN (SELECT query_id FROM parts)),
 g1 AS (SELECT *, first_score + moved AS score FROM g0 WHERE first_score > 0),
-g2 AS (SELECT *, count(*) OVER q AS n_ranked, max(document >= 1.0) OVER q AS any_named, max(coalesce(inside, false)) OVER q AS any_inside, score + obligation_internal * 1.5 + document * 2 AS duty FROM g1 WINDOW q AS (PARTITION BY query_id)),
+g2 AS MATERIALIZED (SELECT *, count(*) OVER q AS n_ranked, max(document >= 1.0) OVER q AS any_named, max(coalesce(inside, false)) OVER q AS any_inside, score + obligation_internal * 1.5 + document * 2 AS duty FROM g1 WINDOW q AS (PARTITION BY query_id)),
 i0 AS (
   SELECT *, CASE WHEN place <= {k} THEN place END AS slot FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN obligation AND coalesce(inside, false) THEN 0 ELSE 1 END, CASE WHEN obligation AND inside IS NOT NULL AND any_inside THEN -duty ELSE -score END, score DESC, {_ORDER}) AS place FROM g2)){steps if mode == "hybrid" else ""},
-base AS (
+base AS MATERIALIZED (
   SELECT query_id, chunk_id, score, rank FROM exact UNION ALL SELECT query_id, chunk_id, score, rank FROM parts
   UNION ALL SELECT query_id, chunk_id, score, slot FROM {chosen} WHERE slot IS NOT NULL)"""
 
@@ -153,18 +163,40 @@ z8 AS (
 z9 AS (SELECT a.query_id, a.chunk_id, a.score, CASE WHEN a.focus THEN b.rank ELSE a.rank END AS rank FROM z8 a LEFT JOIN z8 b ON a.query_id = b.query_id AND a.focus AND b.focus AND b.place = a.new_place)"""
 
 
-def search_sql(mode: str, k: int = K) -> str:
+def _mode_sql(mode: str, k: int) -> tuple[str, str]:
+    """The CTEs of a mode after those that score, and the one with its rows."""
     if mode in ("lexical", "embedding", "hybrid"):
-        return f"WITH {base_sql(mode, k)} {_RESULT} FROM base"
+        return _ranked_sql(mode, k), "base"
     pool = max(k, V.FILTER_POOL if mode == "hybrid_filtered_rerank" else V.RERANK_POOL)
     filtered = _filtered("pooled") if mode == "hybrid_filtered_rerank" else ""
     last = "f9" if filtered else "pooled"
-    return f"""WITH {base_sql('hybrid', pool)},
-pooled AS (SELECT base.* FROM base JOIN ctx USING (query_id) WHERE apply_rerank){filtered}{_reranked(last)},
+    return f"""{_ranked_sql('hybrid', pool)},
+pooled AS MATERIALIZED (SELECT base.* FROM base JOIN ctx USING (query_id) WHERE apply_rerank){filtered}{_reranked(last)},
 every AS (
   SELECT base.query_id, rank, score, chunk_id FROM base JOIN ctx USING (query_id) WHERE NOT apply_rerank
-  UNION ALL SELECT query_id, rank, score, chunk_id FROM z3 WHERE settled UNION ALL SELECT query_id, rank, score, chunk_id FROM z9)
-{_RESULT} FROM every WHERE rank <= {k}"""
+  UNION ALL SELECT query_id, rank, score, chunk_id FROM z3 WHERE settled UNION ALL SELECT query_id, rank, score, chunk_id FROM z9)""", "every"
+
+
+def search_sql(mode: str, k: int = K) -> str:
+    steps, last = _mode_sql(mode, k)
+    return f"WITH {scored_sql('lexical' if mode == 'lexical' else 'hybrid')},\n{steps} {_RESULT} FROM {last} WHERE rank <= {k}"
+
+
+def materialized(sql: str) -> str:
+    """Every CTE is worked out once: else those of scores are put in again wherever they are used."""
+    return re.sub(r"(?m)^(\w+) AS \(", r"\1 AS MATERIALIZED (", sql)
+
+
+def modes_sql(modes: tuple[str, ...], k: int = K) -> str:
+    """CTEs up to searched(mode, query_id, rank, score, chunk_id): chunks are scored once for all modes, whose own CTEs have their number."""
+    every, found = [scored_sql("hybrid")], []
+    for i, mode in enumerate(modes):
+        steps, last = _mode_sql(mode, k)
+        for name in re.findall(r"(?m)^(\w+) AS (?:MATERIALIZED )?\(", steps):
+            steps, last = (re.sub(rf"(?<![.\w]){name}(?!\w)(?! AS (?!MATERIALIZED)\w)", f"{name}_{i}", x) for x in (steps, last))
+        every.append(steps)
+        found.append(f"SELECT '{mode}' AS mode, query_id, rank, score, chunk_id FROM {last} WHERE rank <= {k}")
+    return materialized(",\n".join([*every, f"searched AS MATERIALIZED ({' UNION ALL '.join(found)})"]))
 
 
 def _search(mode: str) -> None:

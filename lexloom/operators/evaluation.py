@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import unit_key
+from lexloom.operators.names import names_in
 from lexloom.sources.tables import in_order
 
 c = F.col
@@ -54,7 +55,7 @@ def alias_lookup(units: DataFrame) -> DataFrame:
 
 def named_documents(questions: DataFrame, aliases: DataFrame) -> DataFrame:
     """query_id, referenced: the act with the longest alias in a question (the first alias, then title, at a tie)."""
-    met = questions.join(aliases, F.contains(F.lower("query"), c("alias")))
+    met = names_in(questions, aliases)
     return met.groupBy("query_id").agg(F.min_by("act_title", F.struct(-F.char_length("alias"), c("alias"), c("act_title"))).alias("referenced"))
 
 

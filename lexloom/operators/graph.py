@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import points, strip, unit_key, words_in
+from lexloom.operators.names import names_in
 from lexloom.operators.retrieval import few
 from lexloom.sources.tables import along, written
 
@@ -124,7 +125,7 @@ def _asked_documents(graph: Graph, queries: DataFrame) -> DataFrame:
     heads = graph.units.where("ord = 1")
     names = F.concat(F.array(F.coalesce("act_title", F.lit(""))), F.coalesce("document_aliases", words_in([])))
     aliases = heads.select(c("document_id").alias("asked_document"), F.explode(F.array_distinct(F.transform(names, lambda a: F.lower(strip(a))))).alias("alias")).where("alias <> ''")
-    met = queries.join(aliases, F.contains(F.lower("query"), c("alias")))
+    met = names_in(queries, aliases)
     best = met.groupBy("query_id").agg(F.min_by("asked_document", F.struct(-F.char_length("alias"), "asked_document")).alias("asked_document"))
     return queries.join(best, "query_id", "left")
 

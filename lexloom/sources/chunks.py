@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions import fixed_values as V
+from lexloom.sources.tables import in_order
 
 _TEXT = ("chunk_id", "document_id", "section_heading", "section_id", "subsection_id", "paragraph_id", "text", "source_path", "act_title", "act_number", "source_file")
 CHUNK = T.StructType(
@@ -40,6 +41,16 @@ def read_chunks(spark: SparkSession, *paths: str) -> DataFrame:
     return with_defaults(rows.withColumn("entry_ord", F.coalesce("entry_ord", F.monotonically_increasing_id())))
 
 
+def read_in_line_order(spark: SparkSession, *paths: str) -> DataFrame:
+    """Chunks from JSON lines with entry_ord from 0 by file name, then line, whatever the files store; smoke files are left out.
+
+    Files may be split or packed: a line's place is its split's place in the file, then its own in the split. Rows are ordered by ranges.
+    """
+    rows = spark.read.schema(CHUNK).json(list(paths)).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_line"))
+    placed = in_order(rows.where(~F.endswith("_file", F.lit(".smoke.jsonl"))), F.col("_file"), F.col("_split"), F.col("_line"))
+    return with_defaults(placed.withColumn("entry_ord", F.col("place") - 1).drop("_file", "_split", "_line", "place"))
+
+
 def read_stored(spark: SparkSession, path: str) -> DataFrame:
     """Stored chunks; a path where nothing has been written holds none."""
     try:

@@ -1,7 +1,9 @@
-"""Refresh and curation summaries of the gold set, kinds by source, and JSON properties of events, with SQL."""
+"""Refresh and curation summaries of the gold set, kinds by source, JSON properties and latencies of events, with SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from lexloom.gold_queries import _SET, CANDIDATES, q_gold_candidates, q_gold_set
 from lexloom.operators import gold, properties, refresh
 from lexloom.registry import query
 from lexloom.report_queries import _BENCHMARK, _benchmark
-from lexloom.sources.tables import table, written
+from lexloom.sources.tables import shared_dir, table, written
+from lexloom.streaming import frames
 
 c = F.col
 _COUNTS = lambda name, source: f"""{name} AS (
@@ -66,3 +69,18 @@ FROM (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM
 def q_event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the JSON properties of all events hold, by type of event."""
     return properties.field_sums(table(spark, sf_dir, "events"), "event_type", "props", "$.k")
+
+
+@query("""
+WITH p AS (
+  SELECT s.ts AS start_ts, date_diff('microsecond', s.ts, e.ts) AS us FROM events s JOIN events e ON e.user_id = s.user_id AND s.event_type = 'view' AND e.event_type = 'purchase' AND e.ts BETWEEN s.ts AND s.ts + INTERVAL 6 HOUR)
+SELECT date_trunc('day', start_ts) AS window_start, count(*) AS n, CAST(sum(us) AS BIGINT) AS total_us, min(us) AS least_us, max(us) AS greatest_us FROM p GROUP BY 1
+""")
+def q_request_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a view to the purchases of its user within six hours, by day: a stream of all events joined with itself; exact columns only."""
+    # A pattern, as a stream takes a table that is one file for a folder of files otherwise.
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/[e]vents.parquet")
+    pairs = frames.request_latency(events.where("event_type = 'view'"), events.where("event_type = 'purchase'"))
+    out = f"{shared_dir(spark)}/latency-{uuid.uuid4().hex}"
+    pairs.writeStream.format("parquet").option("path", f"{out}/pairs").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return frames.latency_windows(spark.read.schema(pairs.schema).parquet(f"{out}/pairs")).drop("median_us", "p95_us")

@@ -73,3 +73,29 @@ def request_windows(events: DataFrame, width: str = "1 hour", late: str = "30 mi
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     grouped = rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return grouped.select(c("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+def request_latency(starts: DataFrame, ends: DataFrame, within: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """user_id, start_id, end_id, start_ts, latency_us of every start with every end of its user that follows it within the interval.
+
+    starts and ends have event_id, user_id, ts and are both batches or both streams. Streams keep rows until the watermarks (`late` behind the
+    newest row) have passed the interval, so state is bounded by time; rows that are later than that may find no partner.
+    Rows without user or time have no latency.
+    """
+    timed = lambda rows, side: rows.select(c("user_id").alias(f"{side}_user"), c("event_id").alias(f"{side}_id"), c("ts").alias(f"{side}_ts"), c("ts").cast("timestamp").alias(f"{side}_at"))
+    first, last = timed(starts, "start"), timed(ends, "end")
+    if first.isStreaming:
+        first, last = first.withWatermark("start_at", late), last.withWatermark("end_at", late)
+    near = (c("start_user") == c("end_user")) & (c("end_at") >= c("start_at")) & (c("end_at") <= c("start_at") + F.expr(f"INTERVAL {within}"))
+    return first.join(last, near).select(c("start_user").alias("user_id"), "start_id", "end_id", "start_ts", (F.unix_micros("end_at") - F.unix_micros("start_at")).alias("latency_us"))
+
+
+#: A quantile's rank is within a share of 1 / ACCURACY of the rows.
+ACCURACY = 10_000
+
+
+def latency_windows(pairs: DataFrame, width: str = "1 day") -> DataFrame:
+    """window_start, n, total_us, least_us, greatest_us and the quantiles median_us, p95_us (see ACCURACY) of latencies by start."""
+    q = lambda share, name: F.percentile_approx("latency_us", share, ACCURACY).alias(name)
+    grouped = pairs.groupBy(F.window("start_ts", width).alias("w")).agg(F.count("*").alias("n"), F.sum("latency_us").alias("total_us"), F.min("latency_us").alias("least_us"), F.max("latency_us").alias("greatest_us"), q(0.5, "median_us"), q(0.95, "p95_us"))
+    return grouped.select(c("w.start").alias("window_start"), "n", "total_us", "least_us", "greatest_us", "median_us", "p95_us")

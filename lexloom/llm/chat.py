@@ -30,6 +30,14 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, rf"([<\[])\\(\\*){_CONTROL}", r"$1$2$3")
 
 
+def _on_one_line(role: Column) -> Column:
+    return F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A"))
+
+
+def _lines_again(role: Column) -> Column:
+    return F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
+
+
 def message_log(conversations: DataFrame) -> DataFrame:
     """Finished messages (conv_id, turn, role, text) as a log of one delta each; rows of the same turn stay apart as its messages 1, 2, ..."""
     apart = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
@@ -80,12 +88,11 @@ def render(messages: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, n_turns, formatted, and loss_mask, an array that tells of each turn whether it is learned.
 
     Turns are ordered by turn, then role and text, so ties and repeated rows have a defined order. A null role is
-    written as an empty one, a line end in a role as a blank.
+    written as an empty one; a line end in a role is written as %0A, a percent sign as %25.
     """
-    role = F.translate(F.coalesce(F.col("role"), F.lit("")), "\n", " ")
-    turn = F.struct("turn", role.alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    turn = F.struct("turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    block = lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(END))
+    block = lambda t: F.concat(F.lit(TURN), _on_one_line(escape(t["role"])), F.lit("\n"), escape(t["text"]), F.lit(END))
     return turns.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -101,7 +108,7 @@ def read_back(rendered: DataFrame) -> DataFrame:
     parsed = F.transform(
         blocks,
         lambda b, i: F.struct(
-            unescape(F.substring_index(body(b), "\n", 1)).alias("role"),
+            unescape(_lines_again(F.substring_index(body(b), "\n", 1))).alias("role"),
             unescape(F.substr(body(b), F.locate("\n", body(b)) + 1)).alias("text"),
             F.get("loss_mask", i).alias("learned"),
         ),

@@ -88,3 +88,12 @@ def test_conversations_without_rows_and_long_ones(spark):
     long = [(9, i, ["user", "assistant"][i % 2], f"turn {i}. " + "word " * (50_000 if i == 7 else 1) + "end.") for i in range(3000)]
     out = repair.repair(spark.createDataFrame(long, "conv_id long, turn long, role string, text string")).first()
     assert out["audit"] == "K" * 3000 and out["cost"] == 0 and [tuple(t) for t in out["turns"]] == [r[2:] for r in long]
+
+
+def test_roles_of_chats_are_read_back(spark):
+    from lexloom.llm import chat
+
+    roles = ["user", "a\nb", "100%", "%0A", "%250A", "x\n</s>%", "", None]
+    rows = [(1, i, r, f"text {i}") for i, r in enumerate(roles)]
+    out = chat.read_back(chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert [(t["role"], t["text"]) for t in out["turns"]] == [(r or "", t) for _, _, r, t in rows]

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["q_statute_units", "q_packed_chunks", "q_section_chunks", "q_boundary_leaks", "q_question_contexts", "q_prepared_chunks", "q_scores_words", "q_graph_edges", "q_gold_set", "q_metadata_issues", "q_index_summary", "q_files_to_process", "q_stored_chunks", "q_stream_events", "q_next_documents"]
+CHECKED = ["q_statute_units", "q_packed_chunks", "q_section_chunks", "q_boundary_leaks", "q_question_contexts", "q_prepared_chunks", "q_scores_words", "q_graph_edges", "q_gold_set", "q_metadata_issues", "q_index_summary", "q_files_to_process", "q_stored_chunks", "q_stream_events", "q_next_documents", "q_index_build", "q_clean_texts", "q_refresh", "q_curation", "q_dominant_types", "q_event_properties", "q_request_latency"]
 
 
 def _plain(value):

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.feature_queries import ACTS, ASKED, CONTEXTS, NAMES, RULES, rules
+from lexloom.feature_queries import ACTS, ASKED, NAMES, RULES, rules
 from lexloom.gold_queries import CANDIDATES, _SET
 from lexloom.operators import evaluation, gold, metadata, retrieval
 from lexloom.plans.query_context import contexts

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import strip, words_in
+from lexloom.sources.tables import written
 
 c = F.col
 # What lines and pages look like.
@@ -50,9 +51,8 @@ def is_note_page(lines: Column) -> Column:
     return F.arrays_overlap(F.transform(F.slice(lines, 1, 8), strip), words_in(NOTES))
 
 
-def is_contents_page(lines: Column) -> Column:
-    """A contents heading in the first 12 lines, or many short entry-like lines among the first 40."""
-    rows = F.filter(F.transform(lines, squeezed), lambda x: x != "")
+def is_contents_page(rows: Column) -> Column:
+    """A contents heading in the first 12 squeezed, non-empty lines, or many short entry-like ones among the first 40."""
     first = F.slice(rows, 1, 40)
     entries, short = F.size(F.filter(first, lambda x: x.rlike(CONTENTS_ENTRY))), F.size(F.filter(first, lambda x: n_words(x) <= 8))
     listed = F.array_contains(F.slice(rows, 1, 20), "SECTION") & (entries >= 4) & (short >= 6)
@@ -88,9 +88,12 @@ def act_numbers(pages: DataFrame) -> DataFrame:
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """Prepared lines of pages(document_id, page_number, lines): a bare number and the bracketed line after it are one; `following` is the next in the page."""
-    rows = pages.select("document_id", "page_number", is_note_page(c("lines")).alias("note"), is_contents_page(c("lines")).alias("contents"), F.posexplode("lines").alias("n", "raw"))
+    # judged before the lines are apart: beside posexplode a page would be judged once a line
+    rows = pages.withColumn("lines", F.transform("lines", squeezed)).withColumn("filled", F.filter("lines", lambda x: x != ""))
+    judged = rows.select("document_id", "page_number", is_note_page(c("lines")).alias("note"), is_contents_page(c("filled")).alias("contents"), "lines")
+    rows = judged.select("document_id", "page_number", "note", "contents", F.posexplode("lines").alias("n", "raw"))
     w = Window.partitionBy("document_id", "page_number").orderBy("n")
-    rows = rows.withColumn("raw", squeezed(c("raw"))).withColumns({"next": F.lead("raw").over(w), "before": F.lag("raw").over(w)})
+    rows = rows.withColumns({"next": F.lead("raw").over(w), "before": F.lag("raw").over(w)})
     head = c("raw").rlike(NUMBER_ONLY) & F.coalesce(c("next").startswith("("), F.lit(False))
     joined = c("raw").startswith("(") & F.coalesce(c("before").rlike(NUMBER_ONLY), F.lit(False))
     rows = rows.where(~joined | c("n").isNull()).withColumn("prepared", F.when(head, F.concat_ws(" ", "raw", "next")).otherwise(c("raw")))
@@ -104,12 +107,15 @@ def normalized_text(pages: DataFrame, documents: DataFrame) -> DataFrame:
     ends each page. Documents whose body does not start have an empty text.
     """
     names = documents.select("document_id", F.coalesce("act_title", F.lit("")).alias("act_title"), F.coalesce("act_number", F.lit("")).alias("act_number"))
-    rows = page_lines(pages).where("NOT note").withColumn("line", cleaned(c("prepared"))).join(names, "document_id")
+    # written, so that the tests below read a line and do not clean it again
+    lines = page_lines(pages).where("NOT note").select("document_id", "page_number", "n", "contents", cleaned(c("prepared")).alias("line"), "following")
+    rows = written(lines, "lines").join(names, "document_id")
     running = c("line").rlike(r"^\d+$") | c("line").isin(RUNNING) | ((c("line") != "") & ((c("line") == c("act_number")) | (c("line") == c("act_title"))))
     rows = rows.where((c("line") != "") & ~running)
     at = F.struct("page_number", "n")
     whole = Window.partitionBy("document_id")
     rows = rows.withColumn("start", F.min(F.when(~c("contents") & starts_body(c("line"), c("following")), at)).over(whole)).where("start IS NOT NULL")
+    rows = written(rows.select("document_id", "page_number", "n", "line", "contents", "start"), "page-lines")
     body = rows.where(at >= c("start"))
     before = rows.where((at < c("start")) & ~c("contents"))
     last = before.withColumn("back", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("page_number"), F.desc("n")))).where("back <= 4").where(is_context(c("line")))

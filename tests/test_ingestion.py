@@ -20,3 +20,11 @@ def test_pages_become_text(spark):
     assert texts["a"] == "PART I\nPRELIMINARY\nShort title\n1. (1) This Act may be cited.\nWages are paid.\n\nCONTENTS\n2. (1) More of it."
     assert texts["b"] == ""
     assert texts["c"] == "5. Body\nplain words follow"
+
+
+def test_a_page_is_judged_once_not_once_a_line(spark):
+    pages = spark.createDataFrame(PAGES, "document_id string, page_number int, lines array<string>")
+    plan = ingestion.page_lines(pages)._jdf.queryExecution().optimizedPlan().toString()
+    # a plan's later lines are worked out first
+    assert plan.count("arrangement of sections") == 1
+    assert plan.index("Generate posexplode") < plan.index("arrangement of sections")

@@ -1,16 +1,15 @@
 """Page lines of statutes to the text that segmentation reads.
 
-Everything is decided per line or page, over windows of a document: which pages are notes or contents, which line the
-body starts with, and which lines just before it belong to it.
+Pages are dealt by their documents, once. Then everything is decided on a page's lines, or on a document's, where they lie: which pages are
+notes or contents, which line the body starts with, and which lines just before it belong to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import strip, words_in
-from lexloom.sources.tables import written
 
 c = F.col
 # What lines and pages look like.
@@ -78,50 +77,87 @@ def is_context(line: Column) -> Column:
     return line.rlike(STRUCTURE) | (~front & heading)
 
 
+def by_document(pages: DataFrame) -> DataFrame:
+    """pages dealt by their documents. What works on a document's pages asks for this and so shares one shuffle; no line is moved again."""
+    return pages.select("document_id", "page_number", "lines").repartition("document_id")
+
+
+def first_pages(pages: DataFrame) -> DataFrame:
+    """document_id, first_lines, act_number: the lines of the first page, and the first line of the first five pages that is nothing but an act's or order's number."""
+    line = F.get(F.filter(F.transform("lines", squeezed), lambda x: x.rlike(ACT_NUMBER) | x.rlike(ORDER_NUMBER)), F.lit(0))
+    found = by_document(pages).withColumn("number", line).groupBy("document_id").agg(
+        F.min_by("lines", "page_number").alias("first_lines"), F.array_sort(F.collect_list(F.struct("page_number", "number"))).alias("numbers")
+    )
+    five = F.slice(F.array_distinct(F.transform("numbers", lambda x: x["page_number"])), 1, 5)
+    early = F.filter("numbers", lambda x: x["number"].isNotNull() & F.exists(five, lambda p: p.eqNullSafe(x["page_number"])))
+    return found.select("document_id", "first_lines", F.get(early, F.lit(0))["number"].alias("act_number"))
+
+
 def act_numbers(pages: DataFrame) -> DataFrame:
-    """document_id, act_number: the first line of the first five pages that is nothing but an act's or order's number."""
-    first = pages.withColumn("nth", F.dense_rank().over(Window.partitionBy("document_id").orderBy("page_number"))).where("nth <= 5")
-    rows = first.select("document_id", "page_number", F.posexplode("lines").alias("n", "line")).withColumn("line", squeezed(c("line")))
-    found = rows.where(c("line").rlike(ACT_NUMBER) | c("line").rlike(ORDER_NUMBER))
-    return found.groupBy("document_id").agg(F.min_by("line", F.struct("page_number", "n")).alias("act_number"))
+    """document_id, act_number of the documents that have one (see first_pages)."""
+    return first_pages(pages).where("act_number IS NOT NULL").select("document_id", "act_number")
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """Prepared lines of pages(document_id, page_number, lines): a bare number and the bracketed line after it are one; `following` is the next in the page."""
+def prepared_pages(pages: DataFrame) -> DataFrame:
+    """document_id, page_number, note, contents, rows (prepared, following) of pages: a bare number and the bracketed line after it are one; `following` is the next in the page.
+
+    Lines look at their neighbours by place, and an array that is worked out is asked for more than once in the next step: what is asked for
+    once is written into the place where it is asked for, which may be inside a function of each line.
+    """
     # judged before the lines are apart: beside posexplode a page would be judged once a line
     rows = pages.withColumn("lines", F.transform("lines", squeezed)).withColumn("filled", F.filter("lines", lambda x: x != ""))
-    judged = rows.select("document_id", "page_number", is_note_page(c("lines")).alias("note"), is_contents_page(c("filled")).alias("contents"), "lines")
-    rows = judged.select("document_id", "page_number", "note", "contents", F.posexplode("lines").alias("n", "raw"))
-    w = Window.partitionBy("document_id", "page_number").orderBy("n")
-    rows = rows.withColumns({"next": F.lead("raw").over(w), "before": F.lag("raw").over(w)})
-    head = c("raw").rlike(NUMBER_ONLY) & F.coalesce(c("next").startswith("("), F.lit(False))
-    joined = c("raw").startswith("(") & F.coalesce(c("before").rlike(NUMBER_ONLY), F.lit(False))
-    rows = rows.where(~joined | c("n").isNull()).withColumn("prepared", F.when(head, F.concat_ws(" ", "raw", "next")).otherwise(c("raw")))
-    return rows.select("document_id", "page_number", "note", "contents", "n", "prepared", F.lead("prepared").over(w).alias("following"))
+    raw, beside = c("lines"), lambda i, by: F.get("lines", i + by)
+
+    def joined(x: Column, i: Column) -> Column:
+        head = x.rlike(NUMBER_ONLY) & F.coalesce(beside(i, 1).startswith("("), F.lit(False))
+        gone = x.startswith("(") & F.coalesce(beside(i, -1).rlike(NUMBER_ONLY), F.lit(False))
+        return F.struct(gone.alias("gone"), F.when(head, F.concat_ws(" ", x, beside(i, 1))).otherwise(x).alias("prepared"))
+
+    kept = F.filter(F.transform(raw, joined), lambda x: ~x["gone"])
+    judged = rows.select("document_id", "page_number", is_note_page(raw).alias("note"), is_contents_page(c("filled")).alias("contents"), kept.alias("kept"))
+    followed = F.transform("kept", lambda x, i: F.struct(x["prepared"].alias("prepared"), F.get("kept", i + 1)["prepared"].alias("following")))
+    return judged.select("document_id", "page_number", "note", "contents", followed.alias("rows"))
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """The lines of prepared_pages, one a row: document_id, page_number, note, contents, n, prepared, following."""
+    return prepared_pages(pages).select("document_id", "page_number", "note", "contents", F.posexplode("rows").alias("n", "row")).select("document_id", "page_number", "note", "contents", "n", "row.*")
+
+
+def document_lines(pages: DataFrame) -> DataFrame:
+    """document_id, lines (page_number, contents, line, starts) of each document's pages in order, without note pages: cleaned lines, and whether the body could start there."""
+    rows = prepared_pages(by_document(pages))
+    lines = F.transform("rows", lambda x: F.struct(cleaned(x["prepared"]).alias("line"), x["following"].alias("following")))
+    judged = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), starts_body(x["line"], x["following"]).alias("starts")))
+    # null for a note page, and so not collected
+    page = F.when(~c("note"), F.struct("page_number", "contents", F.filter(judged, lambda x: x["line"] != "").alias("rows")))
+    whole = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
+    flat = F.flatten(F.transform("pages", lambda p: F.transform(p["rows"], lambda x: F.struct(p["page_number"].alias("page_number"), p["contents"].alias("contents"), x["line"].alias("line"), x["starts"].alias("starts")))))
+    return whole.select("document_id", flat.alias("lines"))
 
 
 def normalized_text(pages: DataFrame, documents: DataFrame) -> DataFrame:
-    """document_id, text of documents(document_id, act_title, act_number): the body's lines from its start, with up to four context lines before.
+    """documents(document_id, act_title, act_number, ...) with text: the body's lines from its start, with up to four context lines before.
 
     Note pages go, contents pages go until the body has started, running heads and feet go everywhere; a blank line
     ends each page. Documents whose body does not start have an empty text.
     """
-    names = documents.select("document_id", F.coalesce("act_title", F.lit("")).alias("act_title"), F.coalesce("act_number", F.lit("")).alias("act_number"))
-    # written, so that the tests below read a line and do not clean it again
-    lines = page_lines(pages).where("NOT note").select("document_id", "page_number", "n", "contents", cleaned(c("prepared")).alias("line"), "following")
-    rows = written(lines, "lines").join(names, "document_id")
-    running = c("line").rlike(r"^\d+$") | c("line").isin(RUNNING) | ((c("line") != "") & ((c("line") == c("act_number")) | (c("line") == c("act_title"))))
-    rows = rows.where((c("line") != "") & ~running)
-    at = F.struct("page_number", "n")
-    whole = Window.partitionBy("document_id")
-    rows = rows.withColumn("start", F.min(F.when(~c("contents") & starts_body(c("line"), c("following")), at)).over(whole)).where("start IS NOT NULL")
-    rows = written(rows.select("document_id", "page_number", "n", "line", "contents", "start"), "page-lines")
-    body = rows.where(at >= c("start"))
-    before = rows.where((at < c("start")) & ~c("contents"))
-    last = before.withColumn("back", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("page_number"), F.desc("n")))).where("back <= 4").where(is_context(c("line")))
-    last = last.withColumn("above", F.lag("line").over(Window.partitionBy("document_id").orderBy("page_number", "n"))).where(c("above").isNull() | (c("above") != c("line")))
-    ends = body.select("document_id", "page_number").distinct().select("document_id", F.lit(1).alias("part"), "page_number", F.lit(2**31 - 1).alias("n"), F.lit("").alias("line"))
-    every = last.select("document_id", F.lit(0).alias("part"), "page_number", "n", "line").unionByName(body.select("document_id", F.lit(1).alias("part"), "page_number", "n", "line")).unionByName(ends)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "page_number", "n", "line"))), lambda r: r["line"]), "\n")
-    texts = every.groupBy("document_id").agg(strip(text).alias("text"))
-    return names.select("document_id").join(texts, "document_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = documents.join(document_lines(pages), "document_id", "left")
+
+    def is_running(line: Column) -> Column:
+        own = (line == F.coalesce("act_number", F.lit(""))) | (line == F.coalesce("act_title", F.lit("")))
+        return line.rlike(r"^\d+$") | line.isin(RUNNING) | own
+
+    # steps, each of which asks more than once for what is worked out before (see prepared_pages)
+    rows = rows.withColumn("kept", F.filter("lines", lambda x: ~is_running(x["line"])))
+    rows = rows.withColumn("start", F.array_position(F.transform("kept", lambda x: F.coalesce(~x["contents"] & x["starts"], F.lit(False))), True).cast("int"))
+    begun = c("start") > 0
+    above = F.transform(F.filter(F.slice("kept", F.lit(1), c("start") - 1), lambda x: ~x["contents"]), lambda x: x["line"])
+    rows = rows.withColumns({"body": F.when(begun, F.slice("kept", c("start"), F.size("kept"))), "above": F.when(begun, above)})
+    last = F.filter(F.slice("above", F.greatest(F.size("above") - 3, F.lit(1)), F.lit(4)), is_context)
+    rows = rows.withColumn("last", last)
+    once = F.filter("last", lambda x, i: (i == 0) | (x != F.get("last", i - 1)))
+    ends = lambda x, i: ~F.coalesce(F.get("body", i + 1)["page_number"].eqNullSafe(x["page_number"]) & (i + 1 < F.size("body")), F.lit(False))
+    lines = F.transform("body", lambda x, i: F.when(ends(x, i), F.concat(x["line"], F.lit("\n"))).otherwise(x["line"]))
+    text = F.coalesce(strip(F.array_join(F.concat(once, lines), "\n")), F.lit(""))
+    return rows.select(*documents.columns, text.alias("text"))

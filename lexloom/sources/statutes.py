@@ -17,12 +17,20 @@ c = F.col
 PER_PAGE = 8
 
 
-def sections(documents: DataFrame) -> DataFrame:
-    """document_id, kind (of the title page, 0 to 4), label, i (from 1), line, for every line with letters."""
+def _lines() -> Column:
+    """The lines of `text` with letters, by their runs of letters."""
     letters = lambda x: F.array_join(F.regexp_extract_all(x, F.lit("([A-Za-z]+)"), 1), " ")
-    lines = F.filter(F.transform(F.split("text", r"\R"), lambda x: letters(strip(x))), lambda x: x != "")
+    return F.filter(F.transform(F.split("text", r"\R"), lambda x: letters(strip(x))), lambda x: x != "")
+
+
+def _names() -> list[Column]:
     kind = F.pmod("doc_id", F.lit(5)).cast("int")
-    rows = documents.select(c("doc_id").cast("string").alias("document_id"), "doc_id", kind.alias("kind"), F.when(kind == 2, "Perkara").otherwise("Section").alias("label"), F.posexplode(lines).alias("i", "line"))
+    return [c("doc_id").cast("string").alias("document_id"), c("doc_id"), kind.alias("kind"), F.when(kind == 2, "Perkara").otherwise("Section").alias("label")]
+
+
+def sections(documents: DataFrame) -> DataFrame:
+    """document_id, kind (of the title page, 0 to 4), label, i (from 1), line, for every line with letters."""
+    rows = documents.select(*_names(), F.posexplode(_lines()).alias("i", "line"))
     return rows.withColumn("i", c("i") + 1)
 
 
@@ -52,26 +60,30 @@ def files(documents: DataFrame) -> DataFrame:
 
 
 def pages(documents: DataFrame) -> DataFrame:
-    """document_id, page_number, lines of the files. Documents without letters have front pages only."""
-    rows = sections(documents)
-    first = rows.where("i = 1").select("document_id", F.regexp_extract("line", "^[A-Za-z]+", 0).alias("word"))
-    known = documents.select(c("doc_id").cast("string").alias("document_id"), "doc_id", F.pmod("doc_id", F.lit(5)).alias("kind")).join(first, "document_id", "left")
-    word = F.coalesce("word", F.lit("nothing"))
+    """document_id, page_number, lines of the files. Documents without letters have front pages only.
+
+    A document's pages are made where it lies: its lines are cut into pages, and each page is written out by itself.
+    """
+    rows = documents.select(*_names(), F.coalesce(_lines(), F.array().cast("array<string>")).alias("own"))
+    of_body = lambda p: F.slice("own", (p - 4) * PER_PAGE + 1, F.lit(PER_PAGE))
+    last = (F.ceil(F.size("own") / PER_PAGE) + 3).cast("int")
+    word = F.when(F.size("own") > 0, F.regexp_extract(F.get("own", F.lit(0)), "^[A-Za-z]+", 0)).otherwise("nothing")
+    parts = F.transform(F.sequence(F.lit(1), last), lambda p: F.struct(p.alias("page_number"), F.when(p >= 4, of_body(p)).alias("part"), F.when(p == 1, word).alias("word")))
+    cut = rows.select("document_id", "doc_id", "kind", "label", F.inline_outer(parts))
     act = F.concat(F.lit("Act "), (F.lit(9000) + c("doc_id") % 900).cast("string"))
     head = (
-        F.when(c("kind") == 0, F.array(F.lit("LAWS OF MALAYSIA"), F.concat(F.lit("Notes on "), word)))
-        .when(c("kind") == 1, F.array(F.lit("LAWS OF MALAYSIA"), F.lit("REPRINT"), act, F.concat(F.lit("RECORDS OF "), F.upper(word)), F.lit("SECOND SERIES / "), F.lit("1 January 1960"), F.lit("NEVER A TITLE")))
-        .when(c("kind") == 2, F.array(F.lit("12"), F.concat(F.lit(" Rules concerning "), word)))
+        F.when(c("kind") == 0, F.array(F.lit("LAWS OF MALAYSIA"), F.concat(F.lit("Notes on "), c("word"))))
+        .when(c("kind") == 1, F.array(F.lit("LAWS OF MALAYSIA"), F.lit("REPRINT"), act, F.concat(F.lit("RECORDS OF "), F.upper("word")), F.lit("SECOND SERIES / "), F.lit("1 January 1960"), F.lit("NEVER A TITLE")))
+        .when(c("kind") == 2, F.array(F.lit("12"), F.concat(F.lit(" Rules concerning "), c("word"))))
         .when(c("kind") == 3, F.array(F.lit("ÉTAT GÉNÉRAL"), F.lit("7"), F.lit("ACT 1955"), F.lit("in force")))
         .otherwise(F.array(F.lit(""), F.lit("1 January 1960"), F.lit("12")))
     )
     contents = F.array(F.lit("ARRANGEMENT OF SECTIONS"), F.lit("1. (1) not the body"), F.lit("Section 2"))
     note = F.array(F.lit(" NOTE: "), F.lit("1. (1) not the body either"))
-    front = known.select("document_id", F.posexplode(F.array(head, contents, note)).alias("page_number", "lines")).withColumn("page_number", c("page_number") + 1)
-    noisy = F.transform(section_lines(c("label"), c("i"), c("line")), lambda x: F.when(x.startswith("(2)"), F.concat(F.lit("ACT 55,  "), x)).otherwise(F.concat(F.lit("  "), x, F.lit("\t"))))
-    body = rows.select("document_id", "i", (F.floor((c("i") - 1) / PER_PAGE) + 4).cast("int").alias("page_number"), noisy.alias("lines"))
-    parts = body.groupBy("document_id", "page_number").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "lines"))), lambda x: x["lines"])).alias("body"))
-    before = F.when(c("page_number") == 4, F.array(*map(F.lit, ("An Act to keep records.", "[1 January 1960]", "PART I", "PRELIMINARY", "PRELIMINARY")))).otherwise(F.array().cast("array<string>"))
-    after = F.array(c("page_number").cast("string"), F.concat(F.lit("Page "), c("page_number").cast("string"), F.lit(" of many")))
-    bodies = parts.select("document_id", "page_number", F.concat(F.array(F.lit("LAWS OF MALAYSIA")), before, c("body"), after).alias("lines"))
-    return front.unionByName(bodies)
+    number = c("page_number")
+    noisy = lambda lines: F.transform(lines, lambda x: F.when(x.startswith("(2)"), F.concat(F.lit("ACT 55,  "), x)).otherwise(F.concat(F.lit("  "), x, F.lit("\t"))))
+    body = F.flatten(F.transform("part", lambda x, j: noisy(section_lines(c("label"), (number - 4) * PER_PAGE + j + 1, x))))
+    before = F.when(number == 4, F.array(*map(F.lit, ("An Act to keep records.", "[1 January 1960]", "PART I", "PRELIMINARY", "PRELIMINARY")))).otherwise(F.array().cast("array<string>"))
+    after = F.array(number.cast("string"), F.concat(F.lit("Page "), number.cast("string"), F.lit(" of many")))
+    lines = F.when(number == 1, head).when(number == 2, contents).when(number == 3, note).otherwise(F.concat(F.array(F.lit("LAWS OF MALAYSIA")), before, body, after))
+    return cut.select("document_id", "page_number", lines.alias("lines"))

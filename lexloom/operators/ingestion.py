@@ -15,6 +15,7 @@ c = F.col
 # What lines and pages look like.
 ACT_NUMBER = r"(?i)^Act\s+(\d+[A-Z]?|A\d+)$"
 ORDER_NUMBER = r"(?i)^P\.U\.\s*\([A-Z]\)\s*\d+$"
+NUMBER_BEGINS = r"(?i)^[ \t\n\r\f\x0B]*(Act|P\.U)"
 NOISE_PREFIX = r"(?i)^(ACT\s+[A-Z0-9]+[,./\\-]*|P\.U\.\s*\([A-Z]\)\s*\d+[,./\\-]*)+"
 NUMBER_ONLY = r"^\d+[A-Z]?\.$"
 NUMBERED = r"^\d+[A-Z]?\.\s*\S"
@@ -36,14 +37,18 @@ def squeezed(line: Column) -> Column:
     return strip(F.regexp_replace(line, "[ \t]+", " "))
 
 
-def cleaned(line: Column) -> Column:
-    """The line without header noise; running boilerplate becomes empty."""
-    out = F.ltrim(F.regexp_replace(squeezed(line), NOISE_PREFIX, ""), F.lit(" ,./\\-"))
-    return F.when(out.startswith(BOILERPLATE[0]) | out.startswith(BOILERPLATE[1]), "").otherwise(out)
+def without_noise(line: Column) -> Column:
+    """A squeezed line without header noise."""
+    return F.ltrim(F.regexp_replace(line, NOISE_PREFIX, ""), F.lit(" ,./\\-"))
 
 
-def n_words(line: Column) -> Column:
-    return F.regexp_count(line, F.lit(r"\S+"))
+def is_boilerplate(line: Column) -> Column:
+    return line.startswith(BOILERPLATE[0]) | line.startswith(BOILERPLATE[1])
+
+
+def has_at_most(line: Column, words: int) -> Column:
+    """Has the line so many words at most? Looks no further than one word more."""
+    return ~line.rlike(rf"^\s*+(?:\S++\s++){{{words}}}\S")
 
 
 def is_note_page(lines: Column) -> Column:
@@ -53,14 +58,14 @@ def is_note_page(lines: Column) -> Column:
 def is_contents_page(rows: Column) -> Column:
     """A contents heading in the first 12 squeezed, non-empty lines, or many short entry-like ones among the first 40."""
     first = F.slice(rows, 1, 40)
-    entries, short = F.size(F.filter(first, lambda x: x.rlike(CONTENTS_ENTRY))), F.size(F.filter(first, lambda x: n_words(x) <= 8))
+    entries, short = F.size(F.filter(first, lambda x: x.rlike(CONTENTS_ENTRY))), F.size(F.filter(first, lambda x: has_at_most(x, 8)))
     listed = F.array_contains(F.slice(rows, 1, 20), "SECTION") & (entries >= 4) & (short >= 6)
     return F.array_join(F.slice(rows, 1, 12), " ").rlike(CONTENTS) | listed | ((entries >= 12) & (short >= 16))
 
 
 def continues_unit(line: Column) -> Column:
     """May the line follow a unit's heading?"""
-    other = line.rlike(NUMBERED) | line.rlike(UNIT_HEADING) | line.isin(FRONT) | (line.rlike(UPPER) & (n_words(line) <= 6))
+    other = line.rlike(NUMBERED) | line.rlike(UNIT_HEADING) | line.isin(FRONT) | (line.rlike(UPPER) & has_at_most(line, 6))
     return (line != "") & (line.rlike(SUBSECTION) | ~other)
 
 
@@ -72,8 +77,8 @@ def starts_body(line: Column, following: Column) -> Column:
 
 def is_context(line: Column) -> Column:
     """Does a line just before the body belong to it: structure, upper-case or short headings?"""
-    front = line.rlike(CONTENTS_ENTRY) | line.isin(FRONT) | line.startswith(BOILERPLATE[0]) | line.startswith(BOILERPLATE[1]) | line.startswith("[") | line.contains("]") | line.startswith("An Act ")
-    heading = (line.rlike(UPPER) & (n_words(line) <= 12)) | (~line.rlike("[.;:]$") & (n_words(line) <= 16))
+    front = line.rlike(CONTENTS_ENTRY) | line.isin(FRONT) | is_boilerplate(line) | line.startswith("[") | line.contains("]") | line.startswith("An Act ")
+    heading = (line.rlike(UPPER) & has_at_most(line, 12)) | (~line.rlike("[.;:]$") & has_at_most(line, 16))
     return line.rlike(STRUCTURE) | (~front & heading)
 
 
@@ -84,7 +89,9 @@ def by_document(pages: DataFrame) -> DataFrame:
 
 def first_pages(pages: DataFrame) -> DataFrame:
     """document_id, first_lines, act_number: the lines of the first page, and the first line of the first five pages that is nothing but an act's or order's number."""
-    line = F.get(F.filter(F.transform("lines", squeezed), lambda x: x.rlike(ACT_NUMBER) | x.rlike(ORDER_NUMBER)), F.lit(0))
+    # few lines begin like a number, so few are squeezed
+    near = F.transform(F.filter("lines", lambda x: x.rlike(NUMBER_BEGINS)), squeezed)
+    line = F.get(F.filter(near, lambda x: x.rlike(ACT_NUMBER) | x.rlike(ORDER_NUMBER)), F.lit(0))
     found = by_document(pages).withColumn("number", line).groupBy("document_id").agg(
         F.min_by("lines", "page_number").alias("first_lines"), F.array_sort(F.collect_list(F.struct("page_number", "number"))).alias("numbers")
     )
@@ -127,10 +134,12 @@ def page_lines(pages: DataFrame) -> DataFrame:
 def document_lines(pages: DataFrame) -> DataFrame:
     """document_id, lines (page_number, contents, line, starts) of each document's pages in order, without note pages: cleaned lines, and whether the body could start there."""
     rows = prepared_pages(by_document(pages))
-    lines = F.transform("rows", lambda x: F.struct(cleaned(x["prepared"]).alias("line"), x["following"].alias("following")))
-    judged = F.transform(lines, lambda x: F.struct(x["line"].alias("line"), starts_body(x["line"], x["following"]).alias("starts")))
+    # one function of a line after another: inside one, a line would be cleaned as often as it is asked for
+    lines = F.transform("rows", lambda x: F.struct(without_noise(x["prepared"]).alias("line"), x["following"].alias("following")))
+    filled = F.filter(lines, lambda x: (x["line"] != "") & ~is_boilerplate(x["line"]))
+    judged = F.transform(filled, lambda x: F.struct(x["line"].alias("line"), starts_body(x["line"], x["following"]).alias("starts")))
     # null for a note page, and so not collected
-    page = F.when(~c("note"), F.struct("page_number", "contents", F.filter(judged, lambda x: x["line"] != "").alias("rows")))
+    page = F.when(~c("note"), F.struct("page_number", "contents", judged.alias("rows")))
     whole = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
     flat = F.flatten(F.transform("pages", lambda p: F.transform(p["rows"], lambda x: F.struct(p["page_number"].alias("page_number"), p["contents"].alias("contents"), x["line"].alias("line"), x["starts"].alias("starts")))))
     return whole.select("document_id", flat.alias("lines"))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lexloom.operators import ingestion
 
 PAGES = [
@@ -28,3 +30,12 @@ def test_a_page_is_judged_once_not_once_a_line(spark):
     # a plan's later lines are worked out first
     assert plan.count("arrangement of sections") == 1
     assert plan.index("Generate posexplode") < plan.index("arrangement of sections")
+
+
+def test_a_line_is_cleaned_once_and_words_are_counted_no_further(spark):
+    pages = spark.createDataFrame(PAGES, "document_id string, page_number int, lines array<string>")
+    plan = ingestion.document_lines(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(ingestion.NOISE_PREFIX) == 1
+    lines = ["", " ", "a", " a  b ", "a b c", "a\nb\x0bc d", None]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select(*(ingestion.has_at_most(F.col("line"), n) for n in (0, 1, 2, 3))).collect()
+    assert [list(r) for r in rows] == [[None if x is None else len(x.split()) <= n for n in (0, 1, 2, 3)] for x in lines]
